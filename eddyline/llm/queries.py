@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from eddyline.llm.packing import op3_packing
 from eddyline.llm.secrets import op10_secrets
+from eddyline.llm.simhash import op9_simhash
 
 QUERIES = {
     "op3_packing": op3_packing,
+    "op9_simhash": op9_simhash,
     "op10_secrets": op10_secrets,
 }
 
