@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from eddyline.llm.langid import op4_language
 from eddyline.llm.packing import op3_packing
 from eddyline.llm.secrets import op10_secrets
 from eddyline.llm.simhash import op9_simhash
 
 QUERIES = {
     "op3_packing": op3_packing,
+    "op4_language": op4_language,
     "op9_simhash": op9_simhash,
     "op10_secrets": op10_secrets,
 }
