@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from eddyline.llm.decontaminate import op8_decontaminate
 from eddyline.llm.langid import op4_language
 from eddyline.llm.packing import op3_packing
 from eddyline.llm.secrets import op10_secrets
@@ -10,6 +11,7 @@ from eddyline.llm.simhash import op9_simhash
 QUERIES = {
     "op3_packing": op3_packing,
     "op4_language": op4_language,
+    "op8_decontaminate": op8_decontaminate,
     "op9_simhash": op9_simhash,
     "op10_secrets": op10_secrets,
 }
