@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from eddyline.llm import chat
+from eddyline.llm.chat import op5_chat
 from eddyline.llm.decontaminate import op8_decontaminate
 from eddyline.llm.langid import op4_language
 from eddyline.llm.packing import op3_packing
 from eddyline.llm.secrets import op10_secrets
 from eddyline.llm.simhash import op9_simhash
+from eddyline.llm.wordpiece import op2_token_counts
 
 QUERIES = {
+    "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
     "op4_language": op4_language,
+    "op5_chat": op5_chat,
     "op8_decontaminate": op8_decontaminate,
     "op9_simhash": op9_simhash,
     "op10_secrets": op10_secrets,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_chat": chat.ORACLE}
