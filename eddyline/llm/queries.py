@@ -11,9 +11,11 @@ from eddyline.llm.ordering import op7_training_order
 from eddyline.llm.packing import op3_packing
 from eddyline.llm.secrets import op10_secrets
 from eddyline.llm.simhash import op9_simhash
+from eddyline.llm.warc import op1_warc
 from eddyline.llm.wordpiece import op2_token_counts
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
     "op4_language": op4_language,

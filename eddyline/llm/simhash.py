@@ -186,5 +186,23 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2, hot_run: i
     return marked.join(classes, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_first(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFrame:
+    """The documents, all columns kept, with the smallest id of each group of near-duplicates.
+
+    Of rows with one id the first in order of text, then of the other columns that can be ordered, stays. Rows
+    without an id are no one's copies and stay.
+    """
+    marks = stored(near_duplicates(docs, words, budget).select("doc_id", "component_id"), "simhash-marks")
+    later = marks.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(later, "doc_id", "left_anti").select(docs.columns)
+    repeated = marks.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    plain = [c for c, kind in docs.dtypes if not kind.startswith(("map", "array", "struct", "variant")) and c != "text"]
+    row = F.struct(*(F.col(c) for c in docs.columns))
+    first = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct("text", *plain)).alias("row"))
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(first.select("row.*"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
