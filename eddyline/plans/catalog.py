@@ -2,25 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from eddyline.plans import queries_scalar, queries_stream, queries_windows
+from eddyline.plans.queries import ORACLES, QUERIES
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def _window_length_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-9, 0)
-    return events.filter("value > 100").select(
-        "event_id", "user_id", F.sum("value").over(w).alias("sum_value"), F.count("*").over(w).alias("n")
-    )
-
-
-QUERIES["window_length_sum"] = _window_length_sum
-ORACLES["window_length_sum"] = """
-select event_id, user_id,
-       sum(value) over w as sum_value, count(*) over w as n
-from events where value > 100
-window w as (partition by user_id order by ts, event_id rows between 9 preceding and current row)
-"""
+__all__ = ["ORACLES", "QUERIES", "queries_scalar", "queries_stream", "queries_windows"]
