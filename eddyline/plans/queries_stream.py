@@ -110,9 +110,9 @@ def _nulled(t: Tables) -> DataFrame:
     return t.orders.select("o_custkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("price"))
 
 
-@query(f"select c_custkey, c_nationkey in (select cast(price as int) % 30 from {_NULLED} x where o_custkey = c_custkey) as found from customer")
+@query(f"select c_custkey, c_nationkey in (select cast(floor(price) as int) % 30 from {_NULLED} x where o_custkey = c_custkey) as found from customer")
 def subquery_in(t: Tables) -> DataFrame:
-    out = Q.in_(t.customer, F.col("c_nationkey"), _nulled(t), F.round("price").cast("int") % 30, [("c_custkey", "o_custkey")], "found")
+    out = Q.in_(t.customer, F.col("c_nationkey"), _nulled(t), F.floor("price").cast("int") % 30, [("c_custkey", "o_custkey")], "found")
     return out.select("c_custkey", "found")
 
 

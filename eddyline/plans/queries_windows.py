@@ -260,14 +260,14 @@ def aggregate_avedev(t: Tables) -> DataFrame:
 
 
 @query(
-    """select event_id, round(list_avg(list_transform(l, lambda x: abs(x - list_avg(l)))), 4) as avedev, round(list_median(l), 4) as mid, len(list_distinct(types)) as n_types
+    """select event_id, round(list_avg(list_transform(l, lambda x: abs(x - list_avg(l)))), 6) as avedev, round(list_median(l), 4) as mid, len(list_distinct(types)) as n_types
     from (select event_id, list(value) over w as l, list(event_type) over w as types from events
       window w as (partition by user_id order by ts, event_id rows between 4 preceding and current row))"""
 )
 def aggregate_frame_rewrites(t: Tables) -> DataFrame:
     """Mean deviation, median and distinct count over a frame."""
     w = R.Length(5).frame(USER)
-    return t.log.select("event_id", r(A.avedev("value", w)).alias("avedev"), r(A.median("value").over(w)).alias("mid"), A.count_distinct("event_type", w).alias("n_types"))
+    return t.log.select("event_id", r(A.avedev("value", w), 6).alias("avedev"), r(A.median("value").over(w)).alias("mid"), A.count_distinct("event_type", w).alias("n_types"))
 
 
 @query(
