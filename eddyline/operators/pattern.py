@@ -252,21 +252,26 @@ class _Every(State):
     def begin(self):
         self.children: list[State] = []
         self.seen: dict[Any, int] = {}
+        self.starting = False
         self._again()
 
     def kids(self):
         return iter(self.children)
 
     def _again(self):
+        if self.starting:  # a child that is true at once, such as an absence, would start others for ever
+            return
         child = self.spawn(self.node.child, self.match)
         if child.alive:
             self.children.append(child)
+            self.starting = True
             child.begin()
+            self.starting = False
 
     def true(self, child, match, done):
         if done:
             self.children = [c for c in self.children if c is not child]
-            self._again()
+        self._again()
         if isinstance(self.node, EveryDistinct):
             key, now = self.node.key(match), self.run.now
             last = self.seen.get(key)
