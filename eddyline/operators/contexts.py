@@ -30,15 +30,18 @@ def hashed(df: DataFrame, key: str, buckets: int, algorithm: str = "crc32") -> D
     return df.withColumn("context_id", F.pmod(code, F.lit(buckets)).cast("int"))
 
 
-@F.pandas_udf("long")
-def _fnv1a(s: pd.Series) -> pd.Series:
-    def one(text):
+def _fnv1a(text: Column) -> Column:
+    def one(value: str) -> int:
         h = 2166136261
-        for b in text.encode():
+        for b in value.encode():
             h = (h ^ b) * 16777619 & 0xFFFFFFFF
         return h
 
-    return s.map(one, na_action="ignore")
+    @F.pandas_udf("long")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(one, na_action="ignore")
+
+    return run(text)
 
 
 def categories(df: DataFrame, **predicates: Column) -> DataFrame:

@@ -117,7 +117,7 @@ def when(df: DataFrame, condition: Callable[[Counters], bool], by: Sequence[str]
                 batch, since, last = batch + 1, [0, 0], int(t)
         return pdf.assign(_batch=marks)[[b < batch for b in marks]]
 
-    return df.groupBy(*(list(by) or [F.lit(0)])).applyInPandas(run, schema)
+    return df.groupBy(*(list(by) or [F.lit("all")])).applyInPandas(run, schema)
 
 
 # ---- cron --------------------------------------------------------------------------------------------------

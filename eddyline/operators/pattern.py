@@ -597,7 +597,7 @@ def match(df: DataFrame, node: Node, by: Sequence[str], select: dict[str, tuple[
         rows = [(*key[: len(by)], at, *(pick(m) for _, pick in select.values())) for at, m in run_pattern(node, events, end=end, **options)]
         return pd.DataFrame(rows, columns=names)
 
-    return df.groupBy(*(list(by) or [F.lit(0)])).applyInPandas(fold, schema)
+    return df.groupBy(*(list(by) or [F.lit("all")])).applyInPandas(fold, schema)
 
 
 # ---- forms that are plans ----------------------------------------------------------------------------------

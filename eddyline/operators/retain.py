@@ -311,7 +311,7 @@ class Fold(Policy):
             pdf["_out"] = [{"ts": c, "seq": d} if c is not None else None for *_, c, d in spans]
             return pdf[[a is not None for a, *_ in spans]]
 
-        keys = list(by) or [F.lit(0)]
+        keys = list(by) or [F.lit("all")]
         return df.groupBy(*keys).applyInPandas(run, schema)
 
 

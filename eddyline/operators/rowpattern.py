@@ -244,7 +244,7 @@ def match_recognize(df: DataFrame, term: Term, by: Sequence[str], define: dict[s
         made = [(*key[: len(by)], at, *(f(tags) for _, f in measures.values())) for at, tags in recognise(rows, term, define, **options)]
         return pd.DataFrame(made, columns=[*by, "_at", *measures])
 
-    return df.groupBy(*(list(by) or [F.lit(0)])).applyInPandas(fold, schema)
+    return df.groupBy(*(list(by) or [F.lit("all")])).applyInPandas(fold, schema)
 
 
 # Measures over caught rows.

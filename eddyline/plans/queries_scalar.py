@@ -16,7 +16,9 @@ from eddyline.functions import udf as U
 from eddyline.plans.queries import Tables, query
 from eddyline.plans.queries_windows import r
 
-V = F.col("value")
+
+def _v():
+    return F.col("value")
 
 
 @query(
@@ -24,7 +26,7 @@ V = F.col("value")
       value not between 50 and 100 as outside, event_type in ('view', 'click') as in_set, value > 20 or null as or_null from events"""
 )
 def scalar_compare(t: Tables) -> DataFrame:
-    return t.events.select("event_id", C.is_(V, None).alias("is_null"), C.between(V, 50, 100).alias("inside"), C.between(V, 100, 50).alias("swapped"), C.between(V, None, 100).alias("null_bound"), C.between(V, 50, 100, False, False).alias("open_range"), C.not_between(V, 50, 100).alias("outside"), C.in_(F.col("event_type"), "view", "click").alias("in_set"), C.or_(V > 20, F.lit(None).cast("boolean")).alias("or_null"))
+    return t.events.select("event_id", C.is_(_v(), None).alias("is_null"), C.between(_v(), 50, 100).alias("inside"), C.between(_v(), 100, 50).alias("swapped"), C.between(_v(), None, 100).alias("null_bound"), C.between(_v(), 50, 100, False, False).alias("open_range"), C.not_between(_v(), 50, 100).alias("outside"), C.in_(F.col("event_type"), "view", "click").alias("in_set"), C.or_(_v() > 20, F.lit(None).cast("boolean")).alias("or_null"))
 
 
 @query(
@@ -32,7 +34,7 @@ def scalar_compare(t: Tables) -> DataFrame:
       coalesce(nullif(event_type, 'view'), 'none') as other, try_cast(event_type as int) as failed, cast(value as int) as whole from (select event_id, event_type, floor(value) as value from events)"""
 )
 def scalar_conditional(t: Tables) -> DataFrame:
-    v = F.floor(V)
+    v = F.floor(_v())
     band = C.Case().when(v < 50, "low").when(v < 150, "mid").else_("high")
     code = C.CaseValue(F.col("event_type")).when("view", 1).when("click", 2).else_(None)
     return t.events.select("event_id", band.alias("band"), code.alias("code"), C.coalesce(F.nullif("event_type", F.lit("view")), "none").alias("other"), C.cast(F.col("event_type"), "int").alias("failed"), C.cast(v, "int").alias("whole"))
@@ -40,7 +42,7 @@ def scalar_conditional(t: Tables) -> DataFrame:
 
 @query("select event_id, value > 50 and value > 100 as gt_all, value > 50 or value > 100 as gt_any, list_contains([1, 2, 3], event_id % 5) as member from events")
 def scalar_quantified(t: Tables) -> DataFrame:
-    return t.events.select("event_id", C.all_of(V, C.greater, [50, 100]).alias("gt_all"), C.any_of(V, C.greater, [50, 100]).alias("gt_any"), C.in_array(F.col("event_id") % 5, F.array(*(F.lit(i).cast("long") for i in (1, 2, 3)))).alias("member"))
+    return t.events.select("event_id", C.all_of(_v(), C.greater, [50, 100]).alias("gt_all"), C.any_of(_v(), C.greater, [50, 100]).alias("gt_any"), C.in_array(F.col("event_id") % 5, F.array(*(F.lit(i).cast("long") for i in (1, 2, 3)))).alias("member"))
 
 
 @query(
@@ -49,7 +51,7 @@ def scalar_quantified(t: Tables) -> DataFrame:
 )
 def scalar_math(t: Tables) -> DataFrame:
     k = F.col("event_id")
-    return t.events.select("event_id", r(M.divide(V, k % 3), 6).alias("ratio"), M.divide_with(k, k % 4, integer=True).alias("whole"), M.modulo(k, k % 4).alias("rest"), M.signum(V - 100).alias("sgn"), r(M.absolute(V - 100), 6).alias("dist"), M.min_of(V, 100.0).alias("low"), M.min_of(V, F.lit(None).cast("double")).alias("no_low"), M.bitwise_and(k, 6).alias("a"), M.bitwise_or(k, 6).alias("o"), M.bitwise_xor(k, 6).alias("x"))
+    return t.events.select("event_id", r(M.divide(_v(), k % 3), 6).alias("ratio"), M.divide_with(k, k % 4, integer=True).alias("whole"), M.modulo(k, k % 4).alias("rest"), M.signum(_v() - 100).alias("sgn"), r(M.absolute(_v() - 100), 6).alias("dist"), M.min_of(_v(), 100.0).alias("low"), M.min_of(_v(), F.lit(None).cast("double")).alias("no_low"), M.bitwise_and(k, 6).alias("a"), M.bitwise_or(k, 6).alias("o"), M.bitwise_xor(k, 6).alias("x"))
 
 
 @query(
@@ -190,4 +192,4 @@ def udf_safe(t: Tables) -> DataFrame:
             raise ValueError("too small")
         return x**0.5
 
-    return t.events.select("event_id", U.function(root, "double")(V).alias("root"))
+    return t.events.select("event_id", U.function(root, "double")(_v()).alias("root"))

@@ -79,7 +79,7 @@ def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
     df.write.csv(path, header=header, mode="overwrite")
 
 
-def beacon(spark: SparkSession, n: int, interval_us: int = 0, start: int = 0, **columns: Column) -> DataFrame:
+def beacon(spark: SparkSession, n: int, interval_us: int = 0, start: int = 0, /, **columns: Column) -> DataFrame:
     """A generator: n events at an interval, with columns made from `id`."""
     df = spark.range(n).withColumn("_seq", F.col("id")).withColumn("_ts", F.col("id") * interval_us + start)
     return df.select("_ts", "_seq", *(c.alias(name) for name, c in columns.items()))

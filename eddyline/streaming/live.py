@@ -47,7 +47,7 @@ def match(events: DataFrame, node: Node, by: Sequence[str], select: dict[str, tu
 
     The key's running state machine is pickled between triggers, so predicates must be module-level functions.
     """
-    import cloudpickle
+    from pyspark import cloudpickle
 
     kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
     schema = ", ".join([*(f"{b} {kinds[b]}" for b in by), "_at long", *(f"{n} {k}" for n, (k, _) in select.items())])
