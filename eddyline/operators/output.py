@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import calendar
 import datetime as dt
+import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -85,6 +86,42 @@ def ticks(spark: SparkSession, start: int, stop: int, us: int) -> DataFrame:
     return spark.range(start + us, stop + 1, us).withColumnRenamed("id", "tick")
 
 
+def at_termination(df: DataFrame, partition: Sequence[str]) -> DataFrame:
+    """The last row of each context partition, delivered when it ends; its instant is that row's."""
+    return last_of_batch(df.withColumn("_batch", F.lit(0)), partition)
+
+
+def iso_schedule(text: str, start: dt.datetime | None = None, most: int = 10_000) -> list[dt.datetime]:
+    """Instants of an ISO 8601 repeating interval R[n]/[date]/[period]; without a date they count from `start`.
+
+    Months and years move the date by the calendar, a day beyond a month's end becomes its last.
+    """
+    parts = text.split("/")
+    times = 1
+    if parts[0].startswith("R"):
+        head = parts.pop(0)
+        times = int(head[1:]) if len(head) > 1 else most
+    first = dt.datetime.fromisoformat(parts.pop(0).replace("Z", "+00:00")).replace(tzinfo=None) if parts and not parts[0].startswith("P") else None
+    period = parts[0] if parts else None
+    out = [first] if first is not None else []
+    base = first if first is not None else start
+    for i in range(1, min(times, most) + (first is None)):
+        if period is None or base is None:
+            break
+        out.append(_moved(base, period, i))
+    return out
+
+
+def _moved(t: dt.datetime, period: str, times: int) -> dt.datetime:
+    m = re.fullmatch(r"P(?:(\d+)Y)?(?:(\d+)M)?(?:(\d+)W)?(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:([\d.]+)S)?)?", period)
+    if m is None:
+        raise ValueError(f"{period} is no ISO 8601 period")
+    years, months, weeks, days, hours, minutes, seconds = (float(x or 0) * times for x in m.groups())
+    n = t.year * 12 + t.month - 1 + int(years) * 12 + int(months)
+    day = min(t.day, calendar.monthrange(n // 12, n % 12 + 1)[1])
+    return t.replace(year=n // 12, month=n % 12 + 1, day=day) + dt.timedelta(weeks=weeks, days=days, hours=hours, minutes=minutes, seconds=seconds)
+
+
 @dataclass(frozen=True)
 class Counters:
     """What an output condition sees."""

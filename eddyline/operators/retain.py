@@ -198,6 +198,39 @@ class FirstTime(Policy):
         return KeepAll().lifetimes(df.where(F.col("_ts") < self.start + self.us), by)
 
 
+@dataclass(frozen=True)
+class FirstTimeCalendar(Policy):
+    """Events that arrive within calendar months and days of the start."""
+
+    months: int
+    days: int
+    start: int
+
+    def lifetimes(self, df, by=()):
+        end = F.unix_micros(F.timestamp_micros(F.lit(self.start)) + F.make_interval(months=F.lit(self.months), days=F.lit(self.days)))
+        return KeepAll().lifetimes(df.where(F.col("_ts") < end), by)
+
+
+@dataclass(frozen=True)
+class ExternallyTimedCalendar(Policy):
+    """Sliding by a property over calendar months and days: an event leaves with the first one at its end or later."""
+
+    column: str
+    months: int = 0
+    days: int = 0
+
+    def lifetimes(self, df, by=()):
+        end = F.unix_micros(F.timestamp_micros(self.column) + F.make_interval(months=F.lit(self.months), days=F.lit(self.days)))
+        ends = df.withColumn("_in", now()).withColumn("_end", end)
+        keys = list(by)
+        # the next event at or after an event's end: one pass over events and ends in order of time
+        marks = ends.select(*keys, F.col("_end").alias("_t"), F.lit(0).alias("_kind"), F.col("_seq").alias("_of"), F.lit(None).cast(INSTANT).alias("_at"))
+        marks = marks.unionByName(ends.select(*keys, F.col(self.column).alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_of"), F.col("_in").alias("_at")))
+        w = (Window.partitionBy(*keys) if keys else Window).orderBy("_t", "_kind", "_at").rowsBetween(0, Window.unboundedFollowing)
+        outs = marks.withColumn("_out", F.first("_at", ignorenulls=True).over(w)).where("_kind = 0").select(*keys, F.col("_of").alias("_seq"), "_out")
+        return ends.drop("_end").join(outs, [*keys, "_seq"], "left")
+
+
 @dataclass(frozen=True)
 class FirstUnique(Policy):
     """The first event of each key."""

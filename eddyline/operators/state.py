@@ -262,3 +262,22 @@ def variable_as_of(df: DataFrame, settings: DataFrame, name: str, initial: Any)
     log = events.unionByName(settings.select("_ts", "_seq", F.col("value").alias("_value")).withColumn("_set", F.lit(True)), allowMissingColumns=True)
     w = Window.orderBy("_ts", "_seq").rowsBetween(Window.unboundedPreceding, 0)
     return log.withColumn(name, F.coalesce(F.last("_value", ignorenulls=True).over(w), F.lit(initial))).where(~F.col("_set")).drop("_value", "_set")
+
+
+def by_priority(df: DataFrame, *statements: tuple[str, int, Column, bool]) -> DataFrame:
+    """Which statements (name, priority, condition, drop) see each event, highest priority first.
+
+    A statement with drop keeps an event it takes from all of lower priority. One row for an event and statement.
+    """
+    taken = F.lit(False)
+    hits = []
+    ranked = sorted(enumerate(statements), key=lambda s: (-s[1][1], s[0]))
+    level, pending = None, F.lit(False)
+    for _, (name, priority, condition, drop) in ranked:
+        if priority != level:
+            taken, pending, level = taken | pending, F.lit(False), priority
+        hit = F.coalesce(condition, F.lit(False)) & ~taken
+        hits.append(F.when(hit, F.lit(name)))
+        if drop:
+            pending = pending | hit
+    return df.withColumn("statement", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())))

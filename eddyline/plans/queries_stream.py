@@ -16,7 +16,7 @@ from eddyline.operators import subquery as Q
 from eddyline.plans import dataflow as D
 from eddyline.plans.queries import Tables, query
 from eddyline.plans.queries_windows import HOUR, USER, r
-from eddyline.sources import formats
+from eddyline.sources import connectors, formats
 
 # ---- joins -------------------------------------------------------------------------------------------------
 
@@ -474,3 +474,36 @@ def dataflow_join(t: Tables) -> DataFrame:
     flow = D.Dataflow("join").add(D.source("n", t.nation.withColumnRenamed("n_regionkey", "k"))).add(D.source("r", t.region.withColumnRenamed("r_regionkey", "k")))
     flow.add(D.join("j", ["k"])).add(D.select("s", "n_name", "r_name"))
     return flow.connect("n", "j").connect("r", "j").connect("j", "s").run()["s"]["out"]
+
+
+@query(
+    """select event_id, 'audit' as statement from events where event_type = 'error' union all select event_id, 'alarm' from events where value > 150 and event_type <> 'error'
+    union all select event_id, 'rest' from events where event_type <> 'error'"""
+)
+def statement_priority(t: Tables) -> DataFrame:
+    """A statement of high priority takes errors from all below it."""
+    kind = F.col("event_type")
+    out = S.by_priority(t.events, ("rest", 0, F.lit(True), False), ("audit", 5, kind == "error", True), ("alarm", 2, F.col("value") > 150, False))
+    return out.select("event_id", "statement")
+
+
+@query("select n_nationkey, n_name, n_regionkey as region, 'x' as tag from nation")
+def parse_xml(t: Tables) -> DataFrame:
+    """XML text with an attribute, rendered and parsed back."""
+    text = F.concat(F.lit("<nation tag='x'><name>"), F.col("n_name"), F.lit("</name><region>"), F.col("n_regionkey").cast("string"), F.lit("</region></nation>"))
+    out = formats.parse_xml(t.nation.select("n_nationkey", text.alias("xml")), "xml", "`@tag` string, name string, region int")
+    return out.select("n_nationkey", F.col("name").alias("n_name"), "region", F.col("@tag").alias("tag"))
+
+
+@query("select n_nationkey * 2 as twice, 'k' || n_nationkey as key from nation where n_nationkey < 10")
+def dataflow_beacon(t: Tables) -> DataFrame:
+    return formats.beacon(t.spark, 10, 1000, twice=(F.col("id") * 2).cast("int"), key=F.concat(F.lit("k"), F.col("id").cast("string"))).select("twice", "key")
+
+
+@query("select c_custkey, n_name, n_regionkey from customer join nation on c_nationkey = n_nationkey where c_acctbal > 9500")
+def method_lookup(t: Tables) -> DataFrame:
+    """Rows from a method asked once for each distinct key."""
+    known = {r["n_nationkey"]: r.asDict() for r in t.nation.collect()}  # the method's own table of 25 rows
+    rows = t.customer.where("c_acctbal > 9500").select("c_custkey", "c_nationkey")
+    out = connectors.lookup(rows, ["c_nationkey"], lambda r: [known[r["c_nationkey"]]], "n_name string, n_regionkey int")
+    return out.select("c_custkey", "n_name", "n_regionkey")

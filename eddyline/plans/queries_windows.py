@@ -486,3 +486,24 @@ def output_distinct(t: Tables) -> DataFrame:
 def output_when(t: Tables) -> DataFrame:
     out = O.when(t.log, lambda c: c.count_insert >= 3, USER)
     return out.select("user_id", F.col("_batch").alias("batch"), "event_id")
+
+
+@query("select user_id, event_id, n from (select user_id, event_id, count(*) over (partition by user_id) as n, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events) where k = 1")
+def output_terminated(t: Tables) -> DataFrame:
+    """The last running count of each user's partition, when the log ends."""
+    out = O.at_termination(A.running(t.log, R.KeepAll(), USER, n=F.count("*")), USER)
+    return out.select("user_id", "event_id", "n")
+
+
+@query(
+    """select e.event_id, (select min(x.event_id) from events x where x.event_type = e.event_type and x.ts >= e.ts + interval 1 month) as evicted_by from events e"""
+)
+def window_ext_timed_calendar(t: Tables) -> DataFrame:
+    """Sliding over a calendar month by the event's own time."""
+    live = R.ExternallyTimedCalendar("_ts", months=1).lifetimes(t.log, ["event_type"])
+    return live.select("event_id", F.col("_out.seq").alias("evicted_by"))
+
+
+@query("select event_id, epoch_us(ts + interval 1 month) as leaves_us from events")
+def window_time_calendar(t: Tables) -> DataFrame:
+    return R.TimeCalendar(months=1).lifetimes(t.log).select("event_id", F.col("_out.ts").alias("leaves_us"))

@@ -196,3 +196,19 @@ def spread(s: pd.Series) -> float:
 
 def test_retained_names():
     assert retain.KeepAll().frame() is not None and retain.Sort(1, ("v",)).frame() is None
+
+
+def test_iso_schedules():
+    got = output.iso_schedule("R3/2012-10-01T05:52:00Z/PT2S")
+    assert got == [dt.datetime(2012, 10, 1, 5, 52, s) for s in (0, 2, 4)]
+    assert output.iso_schedule("R2/P1M", dt.datetime(2024, 1, 31)) == [dt.datetime(2024, 2, 29), dt.datetime(2024, 3, 31)]
+    assert output.iso_schedule("2024-01-01T00:00:00Z") == [dt.datetime(2024, 1, 1)]
+
+
+def test_virtual_window_and_observation(spark):
+    from eddyline.sources.virtual import virtual_window
+    from eddyline.streaming.metrics import observed
+
+    df = virtual_window(spark, "numbers", "k int", lambda i: iter([(i,), (i + 10,)]), 2)
+    seen, result = observed(df, "o", n=F.count("*"))
+    assert sorted(r["k"] for r in seen.collect()) == [0, 1, 10, 11] and result.get["n"] == 4
