@@ -38,5 +38,6 @@ def whole(path: str):
 def content(path: str, start: int = 0, length: int | None = None) -> bytes:
     system, at = open_fs(path)
     with system.open_input_file(at) as f:
-        f.seek(start)
-        return f.read(length) if length is not None else f.read()
+        left = max(0, f.size() - start)
+        f.seek(min(start, f.size()))
+        return f.read(left if length is None else min(length, left))

@@ -1,12 +1,14 @@
 """Training-order materialisation.
 
-Documents become sequences of a fixed number of token ids. Sequence number i of N gets the global slot P(i), P
-being a keyed permutation of 0..N-1: a Feistel network on the smallest even number of bits that holds N, walked
-again wherever it leaves the range. So the order is a function of the key alone, any slot's sequence and any
-sequence's slot can be computed without a table, and no random numbers are drawn or sorted.
+Documents become sequences of a fixed number of token ids, and a sequence is named by where it came from: its
+partition and its number there, x = partition * 2^32 + number. A keyed permutation of all such names, a Feistel
+network on the smallest even number of bits that holds them, walked again wherever it leaves the range, gives
+every sequence its place in training order; its global slot is its rank there. So the order is a function of the
+key alone, nothing needs to be counted before the shuffle, and the ids cross the network once.
 
-Slots are divided into ranges, a range into shards; a range's task writes its shards as records of one stride in
-the order of their slots. A reader starts at slot s by seeking to (s mod records) * stride of shard s div records.
+The permuted range is cut into equal ranges, one a shard. The range's task sorts its sequences and writes them as
+records of one stride; the manifest adds up the shards' sizes to their first slots. A reader starts at slot s by
+seeking to (s - first slot) * stride of the last shard that starts at or before s.
 
 Rows: null and empty texts are their end token alone; repeated rows are documents of their own; sequences run on
 over documents of a partition, the last one is filled up with the end token and its true length is kept; an empty
@@ -27,13 +29,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eddyline.llm import tokens
-from eddyline.llm.common import blocks, discard, shared_dir, table
+from eddyline.llm.common import blocks, shared_dir, table
 from eddyline.llm.files import content, whole
 
 SEQUENCE = 1024
 #: Sequences in a shard: 16 MB of 16-bit ids.
 SHARD = 8192
 ROUNDS = 6
+#: Tasks that read shards back at most.
+MOST_TASKS = 100_000
 
 
 class Permutation:
@@ -105,64 +109,63 @@ def sequences(docs: DataFrame, path: str, length: int, end_id: int) -> DataFrame
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "part int, local long, n_tokens int, ids binary")
 
 
-MANIFEST = "shard long, first_slot long, n_sequences long, n_bytes long, sha256 string, lengths binary, path string"
+MANIFEST = "shard long, n_sequences long, n_bytes long, sha256 string, lengths binary, path string"
+#: Bits of a sequence's name below its partition.
+LOCAL_BITS = 32
 
 
 def materialise(docs: DataFrame, out: str, key: str, path: str | None = None, length: int = SEQUENCE, shard: int = SHARD, end_id: int = 0) -> DataFrame:
-    """Write the shards below `out` and return their manifest, which is stored there too.
+    """Write the shards below `out` and return their manifest, which is stored there too, with each one's first slot.
 
+    A shard holds about `shard` sequences; their number follows from the bytes of all texts, taken at 2.5 a token.
     lengths: the true length of each sequence of the shard, 16 bits each.
     """
     spark = docs.sparkSession
     path = path or tokens.default_path()
-    sequences(docs, path, length, end_id).write.option("compression", "zstd").parquet(f"{out}/sequences")
-    made = spark.read.schema("part int, local long, n_tokens int, ids binary").parquet(f"{out}/sequences")
-    counts = made.groupBy("part").count()
-    n = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    if n:
-        before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition of the input
-        offsets = counts.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-        permutation = Permutation(n, key)
-
-        @F.pandas_udf("long")
-        def slot_of(number: pd.Series) -> pd.Series:
-            return pd.Series(permutation.slot(number.to_numpy()))
-
-        shards = -(-n // shard)
-        tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // 16)))
-        placed = made.join(offsets, "part").select(slot_of(F.col("before") + F.col("local")).alias("slot"), "n_tokens", "ids")
-        placed = placed.withColumn("task", F.expr(f"cast((slot div {shard}) * {tasks} div {shards} as int)"))
-        ranges = placed.repartitionById(tasks, F.col("task")).sortWithinPartitions("slot").select("slot", "n_tokens", "ids")
-
-        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, ids, sizes = -1, [], []
-
-            def flush() -> pa.RecordBatch:
-                name = f"{out}/shards/{now:09d}.bin"
-                data = b"".join(ids)
-                with whole(name) as f:
-                    f.write(data)
-                row = (now, now * shard, len(sizes), len(data), hashlib.sha256(data).hexdigest(), np.array(sizes, "<u2").tobytes(), name)
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
-                return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in MANIFEST.split(", ")])
-
-            for block in batches:
-                for slot, n_tokens, raw in zip(*(c.to_pylist() for c in block.columns), strict=True):
-                    if slot // shard != now:
-                        if sizes:
-                            yield flush()
-                        now, ids, sizes = slot // shard, [], []
-                    ids.append(raw)
-                    sizes.append(n_tokens)
-            if sizes:
-                yield flush()
-
-        rows = ranges.mapInArrow(write, MANIFEST)
-    else:
-        rows = spark.createDataFrame([], MANIFEST)
-    rows.write.parquet(f"{out}/manifest")
-    discard(spark, f"{out}/sequences")
-    return spark.read.schema(MANIFEST).parquet(f"{out}/manifest")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+    shards = max(1, -(-size * 2 // (5 * length * shard)))
+    tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // 16)))
+    made = sequences(docs, path, length, end_id)
+    names = made.rdd.getNumPartitions() << LOCAL_BITS
+    permutation = Permutation(names, key)
+
+    @F.pandas_udf("long")
+    def place_of(part: pd.Series, local: pd.Series) -> pd.Series:
+        return pd.Series(permutation.slot((part.to_numpy().astype(np.uint64) << np.uint64(LOCAL_BITS)) + local.to_numpy().astype(np.uint64)))
+
+    placed = made.select(place_of("part", "local").alias("place"), "n_tokens", "ids")
+    placed = placed.withColumn("shard", F.expr(f"cast(place div {-(-names // shards)} as long)"))
+    placed = placed.withColumn("task", F.expr(f"cast(shard * {tasks} div {shards} as int)"))
+    ranges = placed.repartitionById(tasks, F.col("task")).sortWithinPartitions("place").select("shard", "n_tokens", "ids")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, sizes = -1, [], []
+
+        def flush() -> pa.RecordBatch:
+            name = f"{out}/shards/{now:09d}.bin"
+            data = b"".join(ids)
+            with whole(name) as f:
+                f.write(data)
+            row = (now, len(sizes), len(data), hashlib.sha256(data).hexdigest(), np.array(sizes, "<u2").tobytes(), name)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in MANIFEST.split(", ")])
+
+        for block in batches:
+            for number, n_tokens, raw in zip(*(c.to_pylist() for c in block.columns), strict=True):
+                if number != now:
+                    if sizes:
+                        yield flush()
+                    now, ids, sizes = number, [], []
+                ids.append(raw)
+                sizes.append(n_tokens)
+        if sizes:
+            yield flush()
+
+    ranges.mapInArrow(write, MANIFEST).write.parquet(f"{out}/manifest")
+    written = spark.read.schema(MANIFEST).parquet(f"{out}/manifest")
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one small row a shard
+    first = written.select("shard", F.coalesce(F.sum("n_sequences").over(before), F.lit(0)).alias("first_slot"))
+    return written.join(first, "shard")
 
 
 def read_from(shard_path: str, lengths: bytes, first: int = 0, length: int = SEQUENCE) -> Iterator[np.ndarray]:
@@ -185,7 +188,8 @@ def read_back(manifest: DataFrame, length: int = SEQUENCE) -> DataFrame:
                 rows = [(first + k, number, k, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for k, ids in enumerate(read_from(path, lengths, length=length))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[x.split()[0] for x in READ.split(", ")])
 
-    return manifest.select("shard", "first_slot", "lengths", "path").repartition("shard").mapInArrow(run, READ)
+    tasks = max(1, min(manifest.count(), MOST_TASKS))  # given as a number, so that the few small rows still spread
+    return manifest.select("shard", "first_slot", "lengths", "path").repartition(tasks).mapInArrow(run, READ)
 
 
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
