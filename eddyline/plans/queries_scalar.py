@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -190,6 +192,6 @@ def udf_safe(t: Tables) -> DataFrame:
     def root(x: float) -> float:
         if x <= 10:
             raise ValueError("too small")
-        return x**0.5
+        return math.sqrt(x)
 
     return t.events.select("event_id", U.function(root, "double")(_v()).alias("root"))
