@@ -28,6 +28,8 @@ from eddyline.llm.common import blocks, table
 
 WIDTH = HEIGHT = 64
 FRAME_MS = 40
+#: Lines coded at once, and bytes of coded frames decoded at once.
+LINES, CODED_BYTES = 1 << 14, 1 << 20
 
 # The category table of the JPEG standard's annex K.3 (numbers of codes of 1 to 16 bits; the
 # categories in order are 0 to 11).
@@ -69,8 +71,19 @@ _HEADERS = [_header(h) for h in range(HEIGHT + 1)]
 def code_lines(x: np.ndarray, number: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Entropy-coded lines, each followed by its restart marker, and where each one starts.
 
-    x: lines of samples; number: each line's place in its frame.
+    x: lines of samples; number: each line's place in its frame. Lines do not depend on each other, so a text of
+    any length is coded in slices.
     """
+    parts, starts, size = [], [np.zeros(1, np.int64)], 0
+    for i in range(0, len(x), LINES):
+        data, own = _code_slice(x[i : i + LINES], number[i : i + LINES])
+        parts.append(data)
+        starts.append(own[1:] + size)
+        size += len(data)
+    return b"".join(parts), np.concatenate(starts)
+
+
+def _code_slice(x: np.ndarray, number: np.ndarray) -> tuple[bytes, np.ndarray]:
     diff = np.diff(x.astype(np.int32), axis=1, prepend=128)
     cat = _CATEGORY[np.abs(diff)]
     value = _CODE[cat] << cat | np.where(diff < 0, diff + (1 << cat.astype(np.int32)) - 1, diff).astype(np.uint32)
@@ -212,6 +225,19 @@ def lookup(huffman: bytes) -> np.ndarray:
 
 def decode(coded: list[bytes], width: int, huffman: bytes) -> np.ndarray:
     """The lines of frames whose coded parts, up to and with the end marker, are given."""
+    out, held, size = [], [], 0
+    for frame in coded:
+        held.append(frame)
+        size += len(frame)
+        if size >= CODED_BYTES:
+            out.append(_decode_slice(held, width, huffman))
+            held, size = [], 0
+    if held:
+        out.append(_decode_slice(held, width, huffman))
+    return np.concatenate(out)
+
+
+def _decode_slice(coded: list[bytes], width: int, huffman: bytes) -> np.ndarray:
     raw = np.frombuffer(b"".join(coded), np.uint8)
     after = np.append(raw[1:], 0)
     mark = (raw == 255) & (((after >= 0xD0) & (after <= 0xD7)) | (after == 0xD9))

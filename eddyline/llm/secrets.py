@@ -45,6 +45,8 @@ RULES: tuple[tuple[str, str, int, int], ...] = (
     ("jwt", r"eyJ[A-Za-z0-9_-]{10,4096}\.eyJ[A-Za-z0-9_-]{10,4096}\.[A-Za-z0-9_-]{10,4096}", 0, 0),
 )
 BASE = ("assign", "access", "hex")
+#: Bytes of a block that are indexed at once.
+INDEX_BYTES = 8 << 20
 
 # ---- Boolean trigram queries -------------------------------------------------------------------------------
 # A query is True (no constraint), a trigram, or ("and" | "or", frozenset of queries).
@@ -196,12 +198,16 @@ class Scanner:
 
     def index(self, raw: list[bytes]) -> dict[int, np.ndarray]:
         """Postings (numbers of documents in the block) of every trigram that a rule asks for."""
-        data = np.frombuffer(b"\0".join(raw) + b"\0\0\0", np.uint8).astype(np.uint32)
-        data += ((data >= 65) & (data <= 90)).astype(np.uint32) << 5
-        slots = self.lut[data[:-2] << 16 | data[1:-1] << 8 | data[2:]]
-        at = np.flatnonzero(slots)
+        joined = np.frombuffer(b"\0".join(raw) + b"\0\0\0", np.uint8)
         ends = np.cumsum([len(x) + 1 for x in raw])
-        pairs = np.unique(slots[at].astype(np.int64) << 32 | np.searchsorted(ends, at, "right"))
+        found = []
+        for i in range(0, len(joined) - 2, INDEX_BYTES):  # a text of any length is indexed in slices
+            data = joined[i : i + INDEX_BYTES + 2].astype(np.uint32)
+            data += ((data >= 65) & (data <= 90)).astype(np.uint32) << 5
+            slots = self.lut[data[:-2] << 16 | data[1:-1] << 8 | data[2:]]
+            at = np.flatnonzero(slots)
+            found.append(np.unique(slots[at].astype(np.int64) << 32 | np.searchsorted(ends, at + i, "right")))
+        pairs = np.unique(np.concatenate(found))
         cuts = np.searchsorted(pairs >> 32, np.arange(1, len(self.slot) + 2))
         return {i: pairs[cuts[i - 1] : cuts[i]] & 0xFFFFFFFF for i in range(1, len(self.slot) + 1)}
 

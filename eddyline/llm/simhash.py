@@ -19,7 +19,8 @@ that its text belongs to, or null if that has none. Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,23 +35,42 @@ from eddyline.llm.components import components, local_forest
 CHUNK, LEAF = 1 << 21, 512
 #: Fingerprints that share a leading run before it is divided, and by how many levels.
 HOT_RUN, HOT_LEVELS = 200_000, 6
+#: Fingerprints, counted once for each run of bits, that one task joins.
+TASK_ROWS = 3_000_000
+#: Bytes of a text whose words are held at once.
+SLICE_BYTES = 8 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _word_lists(raw: bytes, words: int) -> Iterator[list[bytes]]:
+    """The words of a text in lists that overlap by words - 1: one list, but for very long texts."""
+    carry: list[bytes] = []
+    at = 0
+    while at < len(raw):
+        end = len(raw)
+        if end - at > SLICE_BYTES:
+            m = _BLANK.search(raw, at + SLICE_BYTES)
+            end = m.start() if m else end
+        carry += raw[at:end].split()
+        yield carry
+        carry = carry[max(0, len(carry) - words + 1) :]
+        at = end
 
 
 def fingerprint(text: str, words: int = 3) -> int:
     """SimHash of the word shingles of a text: a bit is set if over half of the shingles' XXH64 have it."""
-    w = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z fold, only ASCII blanks part words
-    if not w:
-        return 0
-    if len(w) < words:
-        shingles: Iterable[bytes] = (b" ".join(w),)
-    else:
-        shingles = map(b" ".join, zip(*(w[k:] for k in range(words)), strict=False))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64)
-    counts = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 15):
-        part = hashes[i : i + (1 << 15)]
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    raw = text.encode("utf-8", "surrogatepass").lower()  # bytes: only A-Z fold, only ASCII blanks part words
+    counts, n, short = np.zeros(64, np.int64), 0, []
+    for w in _word_lists(raw, words):
+        hashes = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in map(b" ".join, zip(*(w[k:] for k in range(words)), strict=False))), np.uint64)
+        n += len(hashes)
+        short = w
+        for i in range(0, len(hashes), 1 << 15):
+            part = hashes[i : i + (1 << 15)]
+            counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    if not n:
+        return xxhash.xxh64_intdigest(b" ".join(short), 42) if short else 0
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -140,7 +160,9 @@ def links(nodes: DataFrame, budget: int = 2, hot_run: int = HOT_RUN, hot_levels:
     low = low.select("node", "turn", "run", "fp", "prefix", pair.alias("mask"))
     # a pair of nodes below a hot run is named by its smaller prefix and what they differ in
     low = low.selectExpr("node", "turn", "run", "fp", "mask", "case when mask >= 0 then least(prefix, prefix ^ mask) else -1 end as pair", "case when mask > 0 and prefix > (prefix ^ mask) then 1 else 0 end as side")
-    dealt = low.repartition(F.col("turn"), F.col("run"), F.col("pair"), F.col("mask"))
+    spark = nodes.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.count() * len(turns) // TASK_ROWS)
+    dealt = low.repartition(tasks, "turn", "run", "pair", "mask")
 
     def run_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]

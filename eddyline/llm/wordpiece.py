@@ -26,6 +26,7 @@ from eddyline.llm.common import blocks, table
 
 #: Words whose counts one worker remembers at most; forgotten all at once.
 REMEMBERED = 400_000
+LONG_TEXT = 4 << 20
 
 
 class LongestMatch:
@@ -119,11 +120,16 @@ def counter(path: str):
     if path not in _loaded:
         import regex
 
-        _loaded[path] = (regex.compile(tokens.pattern()).findall, _Counts(LongestMatch(tokens.vocabulary(path))))
+        _loaded[path] = (regex.compile(tokens.pattern()), _Counts(LongestMatch(tokens.vocabulary(path))))
     words_of, counts = _loaded[path]
 
     def count(text: str) -> tuple[int, int]:
-        words = words_of(text)
+        if len(text) > LONG_TEXT:  # its words are not held together
+            n = total = 0
+            for m in words_of.finditer(text):
+                n, total = n + 1, total + counts[m[0]]
+            return n, total
+        words = words_of.findall(text)
         return len(words), sum(map(counts.__getitem__, words))
 
     return count
