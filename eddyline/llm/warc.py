@@ -34,6 +34,8 @@ from eddyline.llm.files import open_fs, whole
 LEAST_REVISIT = 100
 #: Compressed bytes after which an archive is closed.
 ARCHIVE_BYTES = 32 << 20
+#: Tasks that read archives back at most.
+MOST_TASKS = 100_000
 FIRST_CAPTURE = dt.datetime(2000, 1, 1, tzinfo=dt.UTC)
 
 # ---- records -----------------------------------------------------------------------------------------------
@@ -238,7 +240,8 @@ def capture_runs(manifest: DataFrame) -> DataFrame:
                 for i in range(0, len(entries), BATCH_ROWS):
                     yield _rows(entries[i : i + BATCH_ROWS])
 
-    return manifest.select("path").repartition("path").mapInArrow(run, RUN)
+    tasks = max(1, min(manifest.count(), MOST_TASKS))  # given as a number, so that the few small rows still spread
+    return manifest.select("path").repartition(tasks).mapInArrow(run, RUN)
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:
