@@ -80,6 +80,18 @@ def overlapping(df: DataFrame, start: Column, us: int, by: Sequence[str], column
     return events.join(starts, on).where(inside).drop(starts["_bucket"], *(f"_k{i}" for i in range(len(by)))).drop("_bucket", "_from")
 
 
+def by_intervals(df: DataFrame, intervals: DataFrame, by: Sequence[str], inclusive: bool = False) -> DataFrame:
+    """Partitions that patterns start and end: rows (by, `_from`, `_to`, further columns) of `intervals`, in microseconds.
+
+    An event belongs to every interval of its key that it falls into: after the start (or at it, if inclusive) and
+    before the end; an open end is null. `context_id` is the start. An equi-join on the key with a range.
+    """
+    spans = intervals.select(*(F.col(b).alias(f"_k{i}") for i, b in enumerate(by)), *(c for c in intervals.columns if c not in by)).withColumn("context_id", F.col("_from"))
+    inside = (F.col("_ts") >= F.col("_from") if inclusive else F.col("_ts") > F.col("_from")) & (F.col("_to").isNull() | (F.col("_ts") < F.col("_to")))
+    on = [df[b] == spans[f"_k{i}"] for i, b in enumerate(by)]
+    return df.join(spans, [*on, inside]).drop("_from", "_to", *(f"_k{i}" for i in range(len(by))))
+
+
 def daily(df: DataFrame, ts: str, start: str, end: str) -> DataFrame:
     """Events between two times of day (hh:mm:ss), the end excluded; over midnight if the end is the earlier."""
     t = F.date_format(ts, "HH:mm:ss")

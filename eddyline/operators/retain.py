@@ -177,6 +177,38 @@ class TimeAccum(Policy):
         return numbered.withColumn("_in", now()).withColumn("_out", timer(last + self.us))
 
 
+def _calendar(ts: Column, months: int, days: int) -> Column:
+    """Microseconds moved by calendar months and days; a day beyond the month's end becomes its last."""
+    return F.unix_micros(F.timestamp_micros(ts) + F.make_interval(months=F.lit(months), days=F.lit(days)))
+
+
+@dataclass(frozen=True)
+class TimeAccumCalendar(Policy):
+    """Accumulate until calendar months and days of silence."""
+
+    months: int = 0
+    days: int = 0
+
+    def lifetimes(self, df, by=()):
+        due = _calendar(F.col("_ts"), self.months, self.days)
+        gap = F.col("_ts") >= F.lag(due).over(ordered(by))
+        numbered = df.withColumn("_due", due).withColumn("_session", F.sum(F.when(gap, 1).otherwise(0)).over(ordered(by)))
+        return numbered.withColumn("_in", now()).withColumn("_out", timer(F.max("_due").over(Window.partitionBy(*by, "_session")))).drop("_due")
+
+
+@dataclass(frozen=True)
+class TimeOrderCalendar(Policy):
+    """By an event timestamp, for calendar months and days of engine time."""
+
+    column: str
+    months: int = 0
+    days: int = 0
+
+    def lifetimes(self, df, by=()):
+        due = df.withColumn("_due", _calendar(F.col(self.column), self.months, self.days))
+        return TimeToLive("_due").lifetimes(due, by).drop("_due")
+
+
 @dataclass(frozen=True)
 class First(Policy):
     """The first n events (1: the first event)."""
@@ -433,6 +465,29 @@ class TimeBatch(Fold):
         return out
 
 
+@dataclass(frozen=True)
+class TimeBatchCalendar(Fold):
+    """Batches of calendar months, anchored at the first arrival; after a silent flush the next event anchors anew."""
+
+    months: int
+
+    def _end(self, anchor: pd.Timestamp, k: int) -> int:
+        return (anchor + pd.DateOffset(months=self.months * k)).value // 1000
+
+    def lives(self, events):
+        ts = events["_ts"].to_numpy()
+        out: list[tuple] = []
+        i, k, anchor = 0, 0, None
+        while i < len(ts):
+            if anchor is None or ts[i] >= self._end(anchor, k + 1):
+                anchor, k = pd.Timestamp(int(ts[i]), unit="us"), 0
+            k += 1
+            j = int(np.searchsorted(ts, self._end(anchor, k)))
+            out += [(self._end(anchor, k), -1, self._end(anchor, k + 1), -1)] * (j - i)
+            i = j
+        return out
+
+
 @dataclass(frozen=True)
 class TimeLengthBatch(Fold):
     """Flush after n events or d, whichever is first; d counts from the last flush or the first event after it."""

@@ -507,3 +507,14 @@ def method_lookup(t: Tables) -> DataFrame:
     rows = t.customer.where("c_acctbal > 9500").select("c_custkey", "c_nationkey")
     out = connectors.lookup(rows, ["c_nationkey"], lambda r: [known[r["c_nationkey"]]], "n_name string, n_regionkey int")
     return out.select("c_custkey", "n_name", "n_regionkey")
+
+
+@query(
+    """with a as (select user_id, event_id, ts, (select min(x.ts) from events x where x.user_id = e.user_id and x.event_type = 'purchase' and (x.ts, x.event_id) > (e.ts, e.event_id)) as b from events e where event_type = 'signup')
+    select a.user_id, epoch_us(a.ts) as context_id, count(*) as n from a join events e on e.user_id = a.user_id and e.ts > a.ts and e.ts < a.b where a.b is not null group by 1, 2"""
+)
+def context_by_pattern(t: Tables) -> DataFrame:
+    """Partitions from a signup to the purchase that a pattern finds after it."""
+    found = P.every_followed_by(t.log, F.col("event_type") == "signup", F.col("event_type") == "purchase", USER, [])
+    spans = found.select("user_id", F.col("a._ts").alias("_from"), F.col("b._ts").alias("_to"))
+    return C.by_intervals(t.log, spans, USER).groupBy("user_id", "context_id").agg(F.count("*").alias("n"))

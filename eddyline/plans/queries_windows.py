@@ -507,3 +507,26 @@ def window_ext_timed_calendar(t: Tables) -> DataFrame:
 @query("select event_id, epoch_us(ts + interval 1 month) as leaves_us from events")
 def window_time_calendar(t: Tables) -> DataFrame:
     return R.TimeCalendar(months=1).lifetimes(t.log).select("event_id", F.col("_out.ts").alias("leaves_us"))
+
+
+@query(
+    """with g as (select *, case when ts >= lag(ts) over (partition by user_id order by ts, event_id) + interval 1 day then 1 else 0 end as fresh from events),
+    s as (select *, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as session from g)
+    select user_id, cast(session as bigint) as session, count(*) as n, epoch_us(max(ts) + interval 1 day) as expires_us from s group by user_id, session"""
+)
+def window_time_accum_calendar(t: Tables) -> DataFrame:
+    live = R.TimeAccumCalendar(days=1).lifetimes(t.log, USER)
+    return live.groupBy("user_id", F.col("_session").cast("long").alias("session")).agg(F.count("*").alias("n"), F.max("_out.ts").alias("expires_us"))
+
+
+@query("select event_id, epoch_us(ts + interval 1 month) as out_us from events")
+def window_time_order_calendar(t: Tables) -> DataFrame:
+    live = R.TimeOrderCalendar("_ts", months=1).lifetimes(t.log)
+    return live.select("event_id", F.col("_out.ts").alias("out_us"))
+
+
+@query()
+def window_time_batch_calendar(t: Tables) -> DataFrame:
+    """Batches of a month from a user's first event; a fold, held against a reference in the tests."""
+    live = R.TimeBatchCalendar(1).lifetimes(t.log, USER)
+    return live.groupBy("user_id", F.col("_in.ts").alias("flush_us")).agg(F.count("*").alias("n"), r(F.sum("value")).alias("total"))

@@ -82,3 +82,11 @@ def test_empty_stream(spark):
     df = stream(spark, [(0, 1.0)]).where("false")
     for p in (R.Length(2), R.Time(S), R.TimeBatch(S), R.Sort(2, ("v",)), R.TimeAccum(S)):
         assert p.lifetimes(df).count() == 0
+
+
+def test_calendar_batches(spark):
+    day = 86400
+    df = stream(spark, [(30 * day, 1.0), (31 * day, 1.0), (59 * day, 1.0), (400 * day, 1.0)])  # from 31 January 1970
+    got = lives(R.TimeBatchCalendar(1).lifetimes(df))
+    assert got[0] == got[1] == ((58 * day * S, -1), (89 * day * S, -1)) and got[2][0] == (89 * day * S, -1)
+    assert got[3][0][0] > 400 * day * S
