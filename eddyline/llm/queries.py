@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eddyline.llm import chat
+from eddyline.llm import chat, secrets, warc
 from eddyline.llm.avi import op6_media
 from eddyline.llm.chat import op5_chat
 from eddyline.llm.decontaminate import op8_decontaminate
@@ -27,4 +27,4 @@ QUERIES = {
     "op10_secrets": op10_secrets,
 }
 
-ORACLES: dict[str, str] = {"op5_chat": chat.ORACLE}
+ORACLES: dict[str, str] = {"op1_warc": warc.ORACLE, "op5_chat": chat.ORACLE, "op10_secrets": secrets.ORACLE}

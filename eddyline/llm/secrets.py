@@ -306,3 +306,33 @@ def redact(docs: DataFrame, rules=RULES, mark: str = "[secret:{}]") -> DataFrame
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def _oracle(rules=RULES) -> str:
+    """DuckDB SQL for the query's rows: matches are marked by control characters, which texts must lack, and counted off.
+
+    Its expressions allow at most 1,000 repetitions, so longer upper bounds are left open.
+    """
+    parts = []
+    for k, (kind, pattern, group, least) in enumerate(rules):
+        p = re.sub(r"\{(\d+),\d{4,}\}", r"{\1,}", pattern).replace("'", "''")
+        parts.append(
+            f"""select doc_id, '{kind}' as kind, {k} as k, i, length(part) - (i > 1)::int as n, length(regexp_extract(string_split(part, chr(2))[1], '{p}', {group})) as least, length(string_split(part, chr(2))[1]) as wide, {least} as need
+            from (select doc_id, unnest(parts) as part, generate_subscripts(parts, 1) as i from (
+              select doc_id, string_split(regexp_replace(coalesce(text, ''), '{p}', chr(1) || '\\0' || chr(2), 'g'), chr(1)) as parts from documents))"""
+        )
+    base = ", ".join(f"'{b}'" for b in BASE)
+    counts = ", ".join(f"count(*) filter (where kind = '{b}') as n_{b}" for b in BASE)
+    return f"""
+    with parts as ({" union all ".join(parts)}),
+    placed as (select *, sum(n) over (partition by doc_id, k order by i rows between unbounded preceding and 1 preceding) as s from parts),
+    found as (select doc_id, kind, k, cast(s as bigint) as s, cast(s + wide as bigint) as e from placed where i > 1 and least >= need),
+    sums as (select doc_id, {counts},
+      string_agg(kind || ':' || s || ':' || e, ',' order by s, k) filter (where kind in ({base})) as base,
+      string_agg(kind || ':' || s || ':' || e, ',' order by s, k, e) as spans from found group by doc_id)
+    select d.doc_id, {", ".join(f"coalesce(n_{b}, 0) as n_{b}" for b in BASE)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+    from documents d left join sums using (doc_id)
+    """
+
+
+ORACLE = _oracle()

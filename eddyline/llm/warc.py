@@ -279,4 +279,22 @@ def merge_runs(runs: DataFrame) -> DataFrame:
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_archives(table(spark, sf_dir, "pages"), shared_dir(spark, "warc"))
     merged = merge_runs(stored(capture_runs(manifest), "warc-runs"))
-    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "position")
+    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+
+
+#: The same result from the table itself.
+ORACLE = r"""
+with p as (
+  select page_id, coalesce(html, '') as html, coalesce(url, '') as url,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?([^/?#:]*)(:[0-9]+)?([^#]*)', ['login', 'host', 'port', 'rest']) as u,
+    regexp_matches(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://') as absolute from pages
+), d as (
+  select *, sha256(html) as digest, strlen(html) as bytes, min(page_id) over (partition by html) as first from p
+)
+select page_id, cast(bytes as bigint) as payload_bytes, digest as payload_digest,
+  case when bytes >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+  case when bytes >= 100 and page_id <> first then first end as refers_to,
+  case when absolute then array_to_string(list_reverse(string_split(regexp_replace(lower(u.host), '^www\.', ''), '.')), ',') || ')' || case when u.rest = '' then '/' else lower(u.rest) end else lower(url) end as url_key,
+  strftime(timestamp '2000-01-01' + to_seconds(page_id % 2147483648), '%Y-%m-%dT%H:%M:%SZ') as captured
+from d
+"""
