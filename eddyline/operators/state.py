@@ -255,13 +255,23 @@ def update_stream(df: DataFrame, where: Column, **assign: Column) -> DataFrame:
     return df.withColumns({c: F.when(F.coalesce(where, F.lit(False)), v).otherwise(F.col(c)) for c, v in assign.items()})
 
 
-def variable_as_of(df: DataFrame, settings: DataFrame, name: str, initial: Any) -> DataFrame:
-    """The value of a variable at each event: the last setting (`value`) before it in order."""
+def variable_as_of(df: DataFrame, settings: DataFrame, name: str, initial: Any, bucket_us: int = 3_600_000_000) -> DataFrame:
+    """The value of a variable at each event: the last setting (`value`) before it in order.
+
+    A variable is one sequence for the whole stream. To keep it from being one task, time is cut into buckets: order
+    matters within a bucket, and each bucket starts with what the last setting before it left. Only that carry, a
+    row a bucket, is a single sequence.
+    """
     kind = settings.schema["value"].dataType
     events = df.withColumn("_value", F.lit(None).cast(kind)).withColumn("_set", F.lit(False))
-    log = events.unionByName(settings.select("_ts", "_seq", F.col("value").alias("_value")).withColumn("_set", F.lit(True)), allowMissingColumns=True)
-    w = Window.orderBy("_ts", "_seq").rowsBetween(Window.unboundedPreceding, 0)
-    return log.withColumn(name, F.coalesce(F.last("_value", ignorenulls=True).over(w), F.lit(initial))).where(~F.col("_set")).drop("_value", "_set")
+    sets = settings.where("value is not null").select("_ts", "_seq", F.col("value").alias("_value")).withColumn("_set", F.lit(True))
+    log = events.unionByName(sets, allowMissingColumns=True).withColumn("_bucket", F.floor(F.col("_ts") / bucket_us))
+    last = log.groupBy("_bucket").agg(F.max_by("_value", F.when(F.col("_set"), F.struct("_ts", "_seq"))).alias("_last"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.select("_bucket", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+    w = Window.partitionBy("_bucket").orderBy("_ts", "_seq").rowsBetween(Window.unboundedPreceding, 0)
+    seen = log.withColumn("_own", F.last("_value", ignorenulls=True).over(w)).where(~F.col("_set")).join(carry, "_bucket")
+    return seen.withColumn(name, F.coalesce("_own", "_carry", F.lit(initial))).drop("_value", "_set", "_own", "_carry", "_bucket")
 
 
 def by_priority(df: DataFrame, *statements: tuple[str, int, Column, bool]) -> DataFrame:

@@ -47,3 +47,48 @@ def test_upsert_sink_is_idempotent(spark):
     for batch, epoch in ((a, 0), (b, 1), (b, 1)):
         sink(batch, epoch)
     assert sorted((r["k"], r["v"]) for r in spark.table("upserted_1").collect()) == [(1, "y"), (2, "z")]
+
+
+class Letters:
+    def __init__(self):
+        self.rows = [(i, chr(97 + i)) for i in range(5)]
+
+    def poll(self, most):
+        out, self.rows = self.rows[:2], self.rows[2:]
+        return out
+
+    def acknowledge(self):
+        pass
+
+
+def test_polled_source(spark):
+    from eddyline.sources.polled import polled
+
+    q = polled(spark, "letters", "k int, v string", Letters).writeStream.format("memory").queryName("letters").start()
+    try:
+        for _ in range(40):
+            q.processAllAvailable()
+            if spark.table("letters").count() == 5:
+                break
+    finally:
+        q.stop()
+    assert sorted(map(tuple, spark.table("letters").collect())) == [(i, chr(97 + i)) for i in range(5)]
+
+
+def test_http_server_client():
+    import socket
+    from urllib import error, request
+
+    import pytest
+
+    from eddyline.sources.polled import HttpServer, batches
+
+    with socket.socket() as s:
+        s.bind(("127.0.0.1", 0))
+        port = s.getsockname()[1]
+    server = HttpServer("127.0.0.1", port, ["a", "b"])
+    request.urlopen(request.Request(f"http://127.0.0.1:{port}/", b'{"a": 1}'), timeout=5)
+    with pytest.raises(error.HTTPError):
+        request.urlopen(request.Request(f"http://127.0.0.1:{port}/", b"no json"), timeout=5)
+    assert list(batches(server)) == [[(1, None)]]
+    server.server.shutdown()
