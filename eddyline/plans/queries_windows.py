@@ -530,3 +530,13 @@ def window_time_batch_calendar(t: Tables) -> DataFrame:
     """Batches of a month from a user's first event; a fold, held against a reference in the tests."""
     live = R.TimeBatchCalendar(1).lifetimes(t.log, USER)
     return live.groupBy("user_id", F.col("_in.ts").alias("flush_us")).agg(F.count("*").alias("n"), r(F.sum("value")).alias("total"))
+
+
+@query(
+    """select event_id, count(*) over w as n, round(sum(value) over w, 4) as total, max(value) over w as top, min(value) over w as low
+    from events window w as (order by ts, event_id rows unbounded preceding)"""
+)
+def aggregate_unkeyed(t: Tables) -> DataFrame:
+    """Running aggregates of the whole stream, spread over hours."""
+    out = A.running_unkeyed(t.log, n=("count", F.lit(1)), total=("sum", "value"), top=("max", "value"), low=("min", "value"))
+    return out.select("event_id", "n", r("total").alias("total"), "top", "low")
