@@ -125,8 +125,8 @@ def is_null(value: Value) -> Column:
 
 
 def exists(dynamic: Column, path: str) -> Column:
-    """Whether JSON text has the path at all; a present null counts. Missing and null are different states."""
-    return F.expr(f"is_variant_null(try_variant_get({_name(dynamic)}, '{path}', 'variant')) is not null and try_variant_get({_name(dynamic)}, '{path}', 'variant') is not null")
+    """Whether a VARIANT has the path at all; a present null counts. Missing and null are different states."""
+    return F.try_variant_get(dynamic, path, "variant").isNotNull()
 
 
 def is_missing(json: Column, path: str) -> Column:
@@ -134,10 +134,6 @@ def is_missing(json: Column, path: str) -> Column:
     return ~F.coalesce(F.array_contains(F.json_object_keys(json), path.removeprefix("$.")), F.lit(False))
 
 
-def _name(c: Column) -> str:
-    return c._jc.toString() if hasattr(c, "_jc") else str(c)
-
-
 def coalesce(*values: Value) -> Column:
     return F.coalesce(*map(col, values))
 

@@ -43,6 +43,7 @@ def test_null_rules(spark):
 def test_missing_is_not_null(spark):
     df = spark.createDataFrame([('{"a": null}',), ('{"b": 1}',), (None,)], "j string")
     assert [r[0] for r in df.select(compare.is_missing(F.col("j"), "a")).collect()] == [False, True, True]
+    assert [r[0] for r in df.select(compare.exists(F.try_parse_json("j"), "$.a")).collect()] == [True, False, False]
 
 
 def test_decimal_rounding_modes(spark):
