@@ -209,12 +209,17 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2, hot_run: i
 
 
 def keep_first(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFrame:
-    """The documents, all columns kept, with the smallest id of each group of near-duplicates.
+    """The documents, all columns kept, with the smallest id of each group of near-duplicates."""
+    return first_of(docs, near_duplicates(docs, words, budget))
+
+
+def first_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The documents, all columns kept, with the smallest id of each class (doc_id, component_id).
 
     Of rows with one id the first in order of text, then of the other columns that can be ordered, stays. Rows
     without an id are no one's copies and stay.
     """
-    marks = stored(near_duplicates(docs, words, budget).select("doc_id", "component_id"), "simhash-marks")
+    marks = stored(classes.select("doc_id", "component_id"), "first-marks")
     later = marks.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(later, "doc_id", "left_anti").select(docs.columns)
     repeated = marks.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
