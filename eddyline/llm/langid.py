@@ -15,7 +15,7 @@ learned from.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,14 @@ TRAIN_ROWS = 6000
 #: Characters of a labelled row that are learned from, from a place that its hash picks.
 TRAIN_CHARS = 600
 UNKNOWN = "und"
+#: Class of a network with rejection: texts in none of the learned languages.
+REJECT = "\0reject"
+#: Least labelled held-out rows that a bound is set by; share of them that may lie above it.
+LEAST_HELD_OUT, MOST_LOST = 20, 0.001
+#: Gradient steps of a network with rejection at least.
+LEAST_STEPS = 600
+#: First and last letters of scripts that texts in no learned language are drawn from.
+SCRIPTS = ((0x391, 0x3C9), (0x410, 0x44F), (0x531, 0x556), (0x5D0, 0x5EA), (0x621, 0x64A), (0x905, 0x939), (0x985, 0x9B9), (0xB85, 0xBB9), (0xE01, 0xE2E), (0x10D0, 0x10F0), (0x1200, 0x1357), (0x1780, 0x17B3), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
 
 
 def windows(raw: bytes, window: int = WINDOW, overlap: int = max(WIDTHS) - 1) -> tuple[np.ndarray, np.ndarray]:
@@ -119,11 +127,8 @@ class ByteCnn:
             out[i : i + at_once] = softmax(np.maximum(np.concatenate(pooled, 1), 0) @ p["out"] + p["bias"])
         return out
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and its probability for each text."""
-        out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
-        if not self.languages:
-            return out
+    def means(self, texts: list[str | None]) -> tuple[list[int], np.ndarray]:
+        """Places of the texts with a letter, and their mean probabilities."""
         number, parts, sizes = [], [], []
         for i, t in enumerate(texts):
             if t and any(map(str.isalpha, t)):
@@ -132,16 +137,29 @@ class ByteCnn:
                 parts.append(cut)
                 sizes.append(has)
         if not number:
-            return out
+            return [], np.empty((0, len(self.languages)))
         of, weight = np.concatenate(number), np.concatenate(sizes).astype(np.float64)
         probs = self.probabilities(np.concatenate(parts)) * weight[:, None]
         starts = np.flatnonzero(np.diff(of, prepend=-1))
-        sums = np.add.reduceat(probs, starts) / np.add.reduceat(weight, starts)[:, None]
-        for i, row in zip(of[starts].tolist(), sums, strict=True):
+        return of[starts].tolist(), np.add.reduceat(probs, starts) / np.add.reduceat(weight, starts)[:, None]
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and its probability for each text."""
+        out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
+        if not self.languages:
+            return out
+        for i, row in zip(*self.means(texts), strict=True):
             best = int(row.argmax())
             out[i] = (self.languages[best], float(min(1.0, row[best])))
         return out
 
+    def rejected(self, texts: list[str | None]) -> list[float]:
+        """The probability that a text is in none of the languages; 1 without a letter. For a network with rejection."""
+        out = [1.0] * len(texts)
+        for i, row in zip(*self.means(texts), strict=True):
+            out[i] = float(min(1.0, row[-1]))
+        return out
+
 
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(1, keepdims=True))
@@ -153,9 +171,40 @@ def fold() -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
 
 
-def train(docs: DataFrame, most_rows: int = TRAIN_ROWS) -> ByteCnn:
+def foreign(n: int, texts: list[str], seed: int = 13) -> list[str]:
+    """Made-up texts in none of the languages of `texts`: scripts they do not use, random letters, junk without words."""
+    rng = np.random.default_rng(seed)
+    seen = np.unique(np.array([ord(c) for t in texts for c in set(t)] or [0]))
+    scripts = [(a, b) for a, b in SCRIPTS if not ((seen >= a) & (seen <= b)).any()]
+    latin = [chr(c) for c in range(97, 123)]
+    marks = list("0123456789" * 3 + "!#$%&()*+,-./:;<=>?@[]^_{|}~")
+    out = []
+    for i in range(n):
+        kind, parts, size = i % 3 if scripts else 1 + i % 2, [], 0
+        a, b = scripts[int(rng.integers(len(scripts)))] if scripts else (0, 0)
+        short = a >= 0x3041  # scripts that write few blanks or short words
+        while size < TRAIN_CHARS:
+            k = int(rng.integers(1, 13))
+            if kind == 0:
+                w = "".join(map(chr, rng.integers(a, b + 1, k + 8 * (short and i % 2))))
+            elif kind == 1:
+                w = "".join(rng.choice(latin, k))
+                w = w.upper() if i % 5 == 0 else w.title() if rng.random() < 0.1 else w
+            else:
+                w = "".join(rng.choice(marks, k))
+                if rng.random() < 0.15:
+                    w = str(rng.choice(latin))
+            parts.append(w + str(rng.choice([".", ",", "!", "\n"])) * (rng.random() < 0.1))
+            size += len(w) + 1
+        out.append(" ".join(parts))
+    return out
+
+
+def train(docs: DataFrame, most_rows: int = TRAIN_ROWS, reject: bool = False) -> ByteCnn:
     """The network, learned from at most `most_rows` labelled rows that are not held out.
 
+    With `reject` it also learns a class of made-up texts, as many as a language has rows on average.
+
     Counts by language come first; then one scan keeps the rows whose hash lies under a threshold that leaves each
     language its share, somewhat more in fact, and the excess with the largest hashes goes. So the sample is the
     same however the table is laid out, and its size does not depend on the table's.
@@ -163,7 +212,7 @@ def train(docs: DataFrame, most_rows: int = TRAIN_ROWS) -> ByteCnn:
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 0))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(counts)
-    model = ByteCnn(languages)
+    model = ByteCnn(languages + [REJECT] * (reject and bool(languages)))
     if not languages:
         return model
     share = max(1, most_rows // len(languages))
@@ -175,17 +224,27 @@ def train(docs: DataFrame, most_rows: int = TRAIN_ROWS) -> ByteCnn:
     rng = np.random.default_rng(5)
     xs, ys = [], []
     left = dict.fromkeys(languages, share)
+    texts = []
+
+    def learn(text: str, number: int) -> None:
+        raw = text.encode("utf-8", "surrogatepass")
+        short = raw[(a := int(rng.integers(0, max(1, len(raw) - 20)))) : a + int(rng.integers(12, 120))]  # texts may be short
+        for piece in (raw[:WINDOW], short):
+            xs.append(np.frombuffer(piece.ljust(WINDOW, b"\0"), np.uint8))
+            ys.append(number)
+
     for r in sorted(kept.collect(), key=lambda r: (r["ticket"], r["lang"], r["text"])):
         if not left[r["lang"]] or not any(map(str.isalpha, r["text"])):
             continue
         left[r["lang"]] -= 1
-        raw = r["text"].encode("utf-8", "surrogatepass")
-        short = raw[(a := int(rng.integers(0, max(1, len(raw) - 20)))) : a + int(rng.integers(12, 120))]  # texts may be short
-        for piece in (raw[:WINDOW], short):
-            xs.append(np.frombuffer(piece.ljust(WINDOW, b"\0"), np.uint8))
-            ys.append(languages.index(r["lang"]))
+        learn(r["text"], languages.index(r["lang"]))
+        texts.append(r["text"])
+    if reject:
+        for t in foreign(-(-len(texts) // len(languages)), texts):
+            learn(t, len(languages))
     if xs:
-        model.train(np.stack(xs), np.array(ys))
+        least = -(-LEAST_STEPS * 64 // len(xs)) if reject else 0
+        model.train(np.stack(xs), np.array(ys), epochs=max(6, least))
     return model
 
 
@@ -206,13 +265,56 @@ def identify(docs: DataFrame, model: ByteCnn) -> DataFrame:
 
 def keep_known(docs: DataFrame, model: ByteCnn, least_score: float = 0.0) -> DataFrame:
     """The documents, all columns kept, whose text is in some language with at least this probability."""
-    names = docs.columns
-    at = names.index("text")
+    return _keep(docs, lambda texts: [lang != UNKNOWN and score >= least_score for lang, score in model.predict(texts)])
+
+
+def keep_learned(docs: DataFrame) -> DataFrame:
+    """The documents, all columns kept, whose text is in a language that the labelled rows teach.
+
+    A network with a class of rejection judges each text. A text goes if that class is likelier than the bound, which
+    all labelled rows that are held out set: at most one in a thousand of them lies above it, none if they are fewer.
+    With fewer than LEAST_HELD_OUT such rows, as without any label, nothing is known about the languages, and every
+    text with a letter stays.
+    """
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() == 0))
+    if labelled.limit(LEAST_HELD_OUT).count() < LEAST_HELD_OUT:
+        return _keep(docs, lambda texts: [has_letter(t) for t in texts])
+    model = train(docs, reject=True)
+    if not model.languages:
+        return _keep(docs, lambda texts: [has_letter(t) for t in texts])
+    bound = reject_bound(labelled, model)
+    return _keep(docs, lambda texts: [has_letter(t) and p <= bound for t, p in zip(texts, model.rejected(texts), strict=True)])
+
+
+def reject_bound(labelled: DataFrame, model: ByteCnn) -> float:
+    """The probability of rejection above which at most MOST_LOST of the labelled rows lie; a half at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, 0):
+            texts = [t for t in block.column(0).to_pylist() if has_letter(t)]
+            steps = np.ceil(np.array(model.rejected(texts)) * 10000).astype(np.int64)
+            at, rows = np.unique(steps, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(rows)], names=["step", "rows"])
+
+    found = labelled.select("text").mapInArrow(run, "step long, rows long").groupBy("step").agg(F.sum("rows").alias("rows")).collect()
+    left = int(sum(r["rows"] for r in found) * MOST_LOST)
+    for r in sorted(found, key=lambda r: -r["step"]):
+        left -= r["rows"]
+        if left < 0:
+            return max(0.5, r["step"] / 10000)
+    return 0.5
+
+
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
+
+
+def _keep(docs: DataFrame, judge: Callable[[list[str | None]], list[bool]]) -> DataFrame:
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, at):
-            found = model.predict(block.column(at).to_pylist())
-            yield block.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in found]))
+            yield block.filter(pa.array(judge(block.column(at).to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
