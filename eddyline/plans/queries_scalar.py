@@ -65,6 +65,15 @@ def scalar_exact(t: Tables) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", "l_extendedprice", M.add_exact(F.col("l_extendedprice"), F.col("l_quantity"), 2).cast("decimal(20,2)").alias("plus"), M.multiply_exact(F.col("l_extendedprice").cast("decimal(18,2)"), F.col("l_tax").cast("decimal(18,2)"), 2).cast("decimal(20,4)").alias("times"))
 
 
+@query(
+    """select l_orderkey, l_linenumber, l_extendedprice, cast(cast(l_extendedprice as decimal(18,2)) + cast(l_quantity as decimal(18,2)) as decimal(20,2)) as plus,
+      cast(cast(l_extendedprice as decimal(18,2)) * cast(l_tax as decimal(18,2)) as decimal(20,4)) as times from lineitem"""
+)
+def scalar_exact_all(t: Tables) -> DataFrame:
+    """As scalar_exact, over all rows."""
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice", M.add_exact(F.col("l_extendedprice"), F.col("l_quantity"), 2).cast("decimal(20,2)").alias("plus"), M.multiply_exact(F.col("l_extendedprice").cast("decimal(18,2)"), F.col("l_tax").cast("decimal(18,2)"), 2).cast("decimal(20,4)").alias("times"))
+
+
 @query(
     """select p_partkey, p_name || '-' || p_brand as joined, p_name like '%a%e%' as liked, regexp_full_match(p_brand, 'Brand#[1-3].*') as matched, starts_with(p_type, 'S') as s, p_type like '%L' as e,
       contains(p_name, 'an') as c, upper(p_name) as u, length(p_name) as n, cast(p_size as varchar) like '1%' as number_like from part"""

@@ -73,6 +73,16 @@ def join_range(t: Tables) -> DataFrame:
     return J.range_join(t.events.select("event_id", "value"), "value", bands, "low", "high", 0.1).select("event_id", "o_orderkey")
 
 
+@query(
+    """select event_id, o_orderkey from events, (select o_orderkey, o_totalprice / 1000 as low, o_totalprice / 1000 + 0.05 as high from orders)
+    where value between low and high"""
+)
+def join_range_all(t: Tables) -> DataFrame:
+    """As join_range, over the ranges of all orders."""
+    bands = t.orders.select("o_orderkey", (F.col("o_totalprice") / 1000).alias("low"), (F.col("o_totalprice") / 1000 + 0.05).alias("high"))
+    return J.range_join(t.events.select("event_id", "value"), "value", bands, "low", "high", 0.1).select("event_id", "o_orderkey")
+
+
 @query(
     """select r_name, count(*) as n, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue
     from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
