@@ -455,6 +455,12 @@ def contained_array(t: Tables) -> DataFrame:
     return N.unnest(t.embeddings, F.slice("embedding", 1, 3), "v", "position").select("vec_id", F.col("position").cast("long").alias("position"), r(F.col("v").cast("double"), 6).alias("x"))
 
 
+@query("select vec_id, pos - 1 as position, round(x::double, 6) as x from (select vec_id, unnest(embedding) as x, generate_subscripts(embedding, 1) as pos from embeddings)")
+def contained_array_all(t: Tables) -> DataFrame:
+    """As contained_array, every element."""
+    return N.unnest(t.embeddings, F.col("embedding"), "v", "position").select("vec_id", F.col("position").cast("long").alias("position"), r(F.col("v").cast("double"), 6).alias("x"))
+
+
 @query("select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")
 def parse_json(t: Tables) -> DataFrame:
     return formats.parse_json(t.events, "props", "k long").select("event_id", "k")

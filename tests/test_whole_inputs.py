@@ -18,3 +18,8 @@ def test_range_join_over_all_orders(spark):
 
 def test_exact_numbers_of_all_lines(spark):
     assert QUERIES["scalar_exact_all"](spark, SF).count() == len(pd.read_parquet(f"{SF}/lineitem.parquet"))
+
+
+def test_every_element_of_an_array(spark):
+    vectors = pd.read_parquet(f"{SF}/embeddings.parquet").embedding
+    assert QUERIES["contained_array_all"](spark, SF).count() == sum(map(len, vectors)) > 3 * len(vectors)
