@@ -4,7 +4,7 @@ Documents become sequences of a fixed number of token ids, and a sequence is nam
 partition and its number there, x = partition * 2^32 + number. A keyed permutation of all such names, a Feistel
 network on the smallest even number of bits that holds them, walked again wherever it leaves the range, gives
 every sequence its place in training order; its global slot is its rank there. So the order is a function of the
-key alone, nothing needs to be counted before the shuffle, and the ids cross the network once.
+key and of the input's splits, nothing needs to be counted before the shuffle, and the ids cross the network once.
 
 The permuted range is cut into equal ranges, one a shard. The range's task sorts its sequences and writes them as
 records of one stride; the manifest adds up the shards' sizes to their first slots. A reader starts at slot s by
