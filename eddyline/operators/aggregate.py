@@ -162,16 +162,16 @@ def running_unkeyed(df: DataFrame, bucket_us: int = 3_600_000_000, **aggregates:
     """Running sum, count, min or max over a whole stream without a key, spread over buckets of time.
 
     aggregates: name=(kind, argument). Order matters within a bucket only; each bucket starts from the aggregates of
-    all before it, and only those, a row a bucket, are one sequence.
+    all before it, and only those, a row a bucket, are one sequence. Events without a time come before all others.
     """
     partial = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
     again = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
     log = df.withColumn("_bucket", F.floor(F.col("_ts") / bucket_us))
     sums = log.groupBy("_bucket").agg(*(partial[k](_c(x)).alias(n) for n, (k, x) in aggregates.items()))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.select("_bucket", *(again[k](n).over(before).alias(f"_before_{n}") for n, (k, _) in aggregates.items()))
+    carry = sums.select(F.col("_bucket").alias("_of"), *(again[k](n).over(before).alias(f"_before_{n}") for n, (k, _) in aggregates.items()))
     w = Window.partitionBy("_bucket").orderBy("_ts", "_seq").rowsBetween(Window.unboundedPreceding, 0)
-    own = log.select("*", *(partial[k](_c(x)).over(w).alias(n) for n, (k, x) in aggregates.items())).join(carry, "_bucket")
+    own = log.select("*", *(partial[k](_c(x)).over(w).alias(n) for n, (k, x) in aggregates.items())).join(carry, F.col("_bucket").eqNullSafe(F.col("_of")))
 
     def joined(n: str, kind: str) -> Column:
         a, b = F.col(f"_before_{n}"), F.col(n)
@@ -179,7 +179,7 @@ def running_unkeyed(df: DataFrame, bucket_us: int = 3_600_000_000, **aggregates:
             return (F.least if kind == "min" else F.greatest)(a, b)
         return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
 
-    return own.withColumns({n: joined(n, k) for n, (k, _) in aggregates.items()}).drop("_bucket", *(f"_before_{n}" for n in aggregates))
+    return own.withColumns({n: joined(n, k) for n, (k, _) in aggregates.items()}).drop("_bucket", "_of", *(f"_before_{n}" for n in aggregates))
 
 
 def with_old(df: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import calendar
 import datetime as dt
+import itertools
 import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -74,12 +75,17 @@ def distinct_batch(batches: DataFrame, columns: Sequence[str]) -> DataFrame:
     return batches.select("_batch", *columns).distinct()
 
 
-def snapshot_at(live: DataFrame, ticks: DataFrame) -> DataFrame:
-    """The rows retained at each tick (column `tick`, microseconds).
+def snapshot_at(live: DataFrame, start: int, stop: int, us: int) -> DataFrame:
+    """The rows retained at each tick (column `tick`, microseconds): start + d, start + 2 d and so on up to `stop`.
 
-    An expiring row meets the ticks of its lifetime only; ticks are a generated, bounded calendar.
+    Each row makes the ticks of its own lifetime, so nothing is joined and the work is the size of the result.
     """
-    return live.join(F.broadcast(ticks), (F.col("tick") >= F.col("_in.ts")) & (F.col("_out").isNull() | (F.col("tick") < F.col("_out.ts"))))
+    nth = lambda at: F.ceil((at - F.lit(start)) / F.lit(us)).cast("long")
+    first = F.greatest(F.lit(1).cast("long"), nth(F.col("_in.ts")))
+    last = F.floor(F.lit((stop - start) / us)).cast("long") if stop >= start else F.lit(0).cast("long")
+    last = F.least(last, F.when(F.col("_out").isNotNull(), nth(F.col("_out.ts")) - 1).otherwise(last))
+    own = F.when((first <= last) & F.col("_in.ts").isNotNull(), F.sequence(first, last))
+    return live.withColumn("_n", F.explode(own)).withColumn("tick", F.lit(start) + F.col("_n") * us).drop("_n")
 
 
 def ticks(spark: SparkSession, start: int, stop: int, us: int) -> DataFrame:
@@ -91,29 +97,56 @@ def at_termination(df: DataFrame, partition: Sequence[str]) -> DataFrame:
     return last_of_batch(df.withColumn("_batch", F.lit(0)), partition)
 
 
-def iso_schedule(text: str, start: dt.datetime | None = None, most: int = 10_000) -> list[dt.datetime]:
+def iso_instants(text: str, start: dt.datetime | None = None) -> Iterator[dt.datetime]:
     """Instants of an ISO 8601 repeating interval R[n]/[date]/[period]; without a date they count from `start`.
 
-    Months and years move the date by the calendar, a day beyond a month's end becomes its last.
+    R without a number repeats for ever. Months and years move the date by the calendar, a day beyond a month's end
+    becomes its last.
     """
     parts = text.split("/")
-    times = 1
+    times: int | None = 1
     if parts[0].startswith("R"):
         head = parts.pop(0)
-        times = int(head[1:]) if len(head) > 1 else most
+        times = int(head[1:]) if len(head) > 1 else None
     first = dt.datetime.fromisoformat(parts.pop(0).replace("Z", "+00:00")).replace(tzinfo=None) if parts and not parts[0].startswith("P") else None
     period = parts[0] if parts else None
-    out = [first] if first is not None else []
+    if first is not None and times != 0:
+        yield first
     base = first if first is not None else start
-    for i in range(1, min(times, most) + (first is None)):
-        if period is None or base is None:
-            break
-        out.append(_moved(base, period, i))
-    return out
+    if period is None or base is None:
+        return
+    for i in itertools.count(1):
+        if times is not None and i >= times + (first is None):
+            return
+        try:
+            at = _moved(base, period, i)
+        except (OverflowError, ValueError):
+            if re.fullmatch(_PERIOD, period) is None:
+                raise
+            return  # beyond the last year that a date can have
+        if at <= base:
+            raise ValueError(f"{period} does not move the time")
+        yield at
+
+
+def iso_schedule(text: str, start: dt.datetime | None = None, stop: dt.datetime | None = None) -> list[dt.datetime]:
+    """The instants of an ISO schedule as a list, up to `stop` if given; one that repeats for ever needs a `stop`."""
+    if stop is None and re.match(r"R(/|$)", text):
+        raise ValueError(f"{text} repeats for ever: give a stop, or iterate over iso_instants")
+    return list(itertools.takewhile(lambda t: stop is None or t <= stop, iso_instants(text, start)))
+
+
+def schedule_ticks(spark: SparkSession, text: str, start: dt.datetime, stop: dt.datetime) -> DataFrame:
+    """The instants of an ISO schedule in (start, stop] as microseconds."""
+    due = iso_schedule(text, start, stop)
+    return spark.createDataFrame([(calendar.timegm(t.timetuple()) * 1_000_000 + t.microsecond,) for t in due if t > start], "tick long")
+
+
+_PERIOD = r"P(?:(\d+)Y)?(?:(\d+)M)?(?:(\d+)W)?(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:([\d.]+)S)?)?"
 
 
 def _moved(t: dt.datetime, period: str, times: int) -> dt.datetime:
-    m = re.fullmatch(r"P(?:(\d+)Y)?(?:(\d+)M)?(?:(\d+)W)?(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:([\d.]+)S)?)?", period)
+    m = re.fullmatch(_PERIOD, period)
     if m is None:
         raise ValueError(f"{period} is no ISO 8601 period")
     years, months, weeks, days, hours, minutes, seconds = (float(x or 0) * times for x in m.groups())

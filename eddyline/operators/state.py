@@ -260,7 +260,7 @@ def variable_as_of(df: DataFrame, settings: DataFrame, name: str, initial: Any,
 
     A variable is one sequence for the whole stream. To keep it from being one task, time is cut into buckets: order
     matters within a bucket, and each bucket starts with what the last setting before it left. Only that carry, a
-    row a bucket, is a single sequence.
+    row a bucket, is a single sequence. Events and settings without a time come before all others.
     """
     kind = settings.schema["value"].dataType
     events = df.withColumn("_value", F.lit(None).cast(kind)).withColumn("_set", F.lit(False))
@@ -268,10 +268,10 @@ def variable_as_of(df: DataFrame, settings: DataFrame, name: str, initial: Any,
     log = events.unionByName(sets, allowMissingColumns=True).withColumn("_bucket", F.floor(F.col("_ts") / bucket_us))
     last = log.groupBy("_bucket").agg(F.max_by("_value", F.when(F.col("_set"), F.struct("_ts", "_seq"))).alias("_last"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carry = last.select("_bucket", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+    carry = last.select(F.col("_bucket").alias("_of"), F.last("_last", ignorenulls=True).over(before).alias("_carry"))
     w = Window.partitionBy("_bucket").orderBy("_ts", "_seq").rowsBetween(Window.unboundedPreceding, 0)
-    seen = log.withColumn("_own", F.last("_value", ignorenulls=True).over(w)).where(~F.col("_set")).join(carry, "_bucket")
-    return seen.withColumn(name, F.coalesce("_own", "_carry", F.lit(initial))).drop("_value", "_set", "_own", "_carry", "_bucket")
+    seen = log.withColumn("_own", F.last("_value", ignorenulls=True).over(w)).where(~F.col("_set")).join(carry, F.col("_bucket").eqNullSafe(F.col("_of")))
+    return seen.withColumn(name, F.coalesce("_own", "_carry", F.lit(initial))).drop("_value", "_set", "_own", "_carry", "_bucket", "_of")
 
 
 def by_priority(df: DataFrame, *statements: tuple[str, int, Column, bool]) -> DataFrame:

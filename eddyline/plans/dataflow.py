@@ -81,11 +81,19 @@ class Dataflow:
         return made
 
     def run(self) -> dict[str, Ports]:
-        """The DataFrames of all ports."""
+        """The DataFrames of all ports.
+
+        In each round every feedback edge that has rounds left returns the rows its port had in the round before;
+        several edges into one operator bring the union of theirs.
+        """
         made = self._pass({})
-        for source, port, target, rounds in self.feedback:
-            for _ in range(rounds):
-                made = self._pass({target: made[source][port]})
+        for turn in range(max((rounds for *_, rounds in self.feedback), default=0)):
+            extra: dict[str, DataFrame] = {}
+            for source, port, target, rounds in self.feedback:
+                if turn < rounds:
+                    back = made[source][port]
+                    extra[target] = extra[target].unionByName(back) if target in extra else back
+            made = self._pass(extra)
         return made
 
 
@@ -121,11 +129,11 @@ def custom(name: str, call: Callable[..., DataFrame | Ports], inputs: int = 1, o
     return Operator(name, run, inputs, tuple(outputs))
 
 
-def log_sink(name: str, write: Callable[[str], None] = print, rows: int = 20) -> Operator:
-    """Writes the first rows as JSON and passes all on."""
+def log_sink(name: str, write: Callable[[str], None] = print, rows: int | None = None) -> Operator:
+    """Writes all rows as JSON, one partition at a time, and passes them on; `rows` asks for the first ones only."""
 
     def run(i: list[DataFrame]) -> Ports:
-        for line in i[0].limit(rows).toJSON().toLocalIterator():
+        for line in (i[0] if rows is None else i[0].limit(rows)).toJSON().toLocalIterator():
             write(line)
         return {"out": i[0]}
 

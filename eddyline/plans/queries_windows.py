@@ -454,8 +454,7 @@ def output_snapshot(t: Tables) -> DataFrame:
     a, z = t.log.agg(F.min("_ts"), F.max("_ts")).first()
     if a is None:
         a = z = 0
-    ticks = O.ticks(t.spark, a // (6 * HOUR) * 6 * HOUR, z, 6 * HOUR)
-    return O.snapshot_at(R.Time(HOUR).lifetimes(t.log), ticks).groupBy("tick").agg(F.count("*").alias("n"), r(F.sum("value")).alias("total"))
+    return O.snapshot_at(R.Time(HOUR).lifetimes(t.log), a // (6 * HOUR) * 6 * HOUR, z, 6 * HOUR).groupBy("tick").agg(F.count("*").alias("n"), r(F.sum("value")).alias("total"))
 
 
 @query("select event_id from (select event_id, row_number() over (partition by user_id order by ts, event_id) as k from events) where k > 20")
