@@ -1,19 +1,26 @@
 """Token ids of a public byte-level BPE vocabulary.
 
-Texts of ASCII and Latin letters go to `tiktoken`, whose ranks are read from the same vocabulary file and which
-gives the same ids four times faster; texts with any other character go to the `tokenizers` library, since the
-two may class rare characters differently. Control tokens' strings in a text are ordinary text.
+Texts of ASCII and Latin letters are cut into words by an expression of this module, and each word's ids come from
+a bounded memory of words or else from `tiktoken`, whose ranks are read from the same vocabulary file; texts with any
+other character go to the `tokenizers` library, since the two may class rare characters differently. Control tokens'
+strings in a text are ordinary text.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 
 #: Characters that both libraries are known to class alike, white space other than blank, tab and line ends excluded.
 _SAME = re.compile(r"[\t\n\r -~¡-¬®-ɏ–—‘-“”•…€]*")
+#: Letters, numbers and white space among them, and the words that the public pattern cuts such a text into.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", r" \t\n\r"
+_WORDS = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+#: Words whose ids a worker remembers, and characters of such a word.
+MOST_WORDS, WORD_CHARS = 1 << 18, 48
 
 
 def default_path() -> str:
@@ -45,6 +52,20 @@ def vocabulary(path: str) -> dict[bytes, int]:
     return {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in control}
 
 
+class _Known(dict):
+    """The ids of words as little-endian 32-bit numbers. The first MOST_WORDS short words are remembered."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self._encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = array("I", self._encode(word)).tobytes()
+        if len(self) < MOST_WORDS and len(word) <= WORD_CHARS:
+            self[word] = ids
+        return ids
+
+
 class Bpe:
     def __init__(self, path: str):
         import tiktoken
@@ -53,6 +74,7 @@ class Bpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.ranked = tiktoken.Encoding("ranked", pat_str=pattern(), mergeable_ranks=vocabulary(path), special_tokens={})
+        self._ids = _Known(self.ranked.encode_ordinary).__getitem__
 
     def reference(self, text: str) -> np.ndarray:
         """The ids as the `tokenizers` library gives them."""
@@ -60,7 +82,7 @@ class Bpe:
 
     def encode(self, text: str) -> np.ndarray:
         if _SAME.fullmatch(text):
-            return self.ranked.encode_to_numpy(text, disallowed_special=())
+            return np.frombuffer(b"".join(map(self._ids, _WORDS.findall(text))), np.uint32)
         return self.reference(text)
 
 
