@@ -7,20 +7,24 @@ all that lies below it. Small pairs of subtrees are compared leaf by leaf.
 To spread the walk over a cluster the 64 bits are cut into budget + 1 runs. Two fingerprints within the budget
 agree on one run at least, so each run in turn leads the trie, its levels have budget 0, and subtrees below
 different leading runs need not meet: they go to different tasks. A leading run that very many fingerprints
-share is divided further, at a fixed depth below it, into the pairs of nodes that the walk would reach there.
+share is divided further, at a depth below it that grows with their number, into the pairs of nodes that the walk
+would reach there.
 
 A task returns a spanning forest of the links it found, which loses no connection; components over all forests
 come from alternating stars. Nothing is gathered on the driver.
 
-Rows: null and empty texts have no word and the fingerprint zero, linked like any other. Repeated rows are
-repeated in the result. A null doc_id joins no component: its component_id is the smallest id of the component
-that its text belongs to, or null if that has none. Other columns are not read.
+Rows: null and empty texts have no word and the fingerprint zero, linked like any other; a very long text is cut
+into overlapping lists of words. Repeated rows are repeated in the result; rows of one doc_id with several texts have
+a fingerprint and a component each. A null doc_id joins no component: its component_id is the smallest id of the
+component that its text belongs to, or null if that has none. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +37,10 @@ from eddyline.llm.components import components, local_forest
 
 #: Pairs of leaves compared at once, and in one pair of nodes before it is divided instead.
 CHUNK, LEAF = 1 << 21, 512
-#: Fingerprints that share a leading run before it is divided, and by how many levels.
-HOT_RUN, HOT_LEVELS = 200_000, 6
+#: Fingerprints that share a leading run before it is divided, by how many levels at a time, and how often at most.
+HOT_RUN, HOT_LEVELS, HOT_STEPS = 200_000, 6, 4
+#: Pairs of nodes that a fingerprint is sent to at most, besides the first step.
+MOST_MASKS = 1000
 #: Fingerprints, counted once for each run of bits, that one task joins.
 TASK_ROWS = 3_000_000
 #: Bytes of a text whose words are held at once.
@@ -73,15 +79,20 @@ def fingerprint(text: str, words: int = 3) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def row_mark() -> F.Column:
+    """A number of a row's text; with the doc_id it names the row."""
+    return F.xxhash64(F.col("text").cast("string")).alias("mark")
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and the fingerprint as a signed long."""
+    """doc_id, the mark of the text and the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, 1):
-            fps = np.array([fingerprint(t or "", words) for t in block.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([block.column(0).cast(pa.int64()), pa.array(fps)], names=["doc_id", "fp"])
+        for block in blocks(batches, 2):
+            fps = np.array([fingerprint(t or "", words) for t in block.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array(fps)], names=["doc_id", "mark", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), row_mark(), F.col("text").cast("string")).mapInArrow(run, "doc_id long, mark long, fp long")
 
 
 def runs(budget: int) -> list[tuple[int, int]]:
@@ -151,15 +162,21 @@ def links(nodes: DataFrame, budget: int = 2, hot_run: int = HOT_RUN, hot_levels:
     led = nodes.where("node is not null").select("node", F.posexplode(rotated).alias("turn", "fp"))
     width = F.element_at(F.array(*(F.lit(64 - n) for _, n in turns)), F.col("turn") + 1)
     led = led.withColumn("w", width).selectExpr("node", "turn", "fp", "shiftrightunsigned(fp, w) as run")
-    hot = led.groupBy("turn", "run").count().where(F.col("count") > hot_run).select("turn", "run", F.lit(True).alias("hot"))
-    led = led.join(hot, ["turn", "run"], "left")
+    hot = led.groupBy("turn", "run").count().where(F.col("count") > hot_run)
+    deep = [hot_levels * i for i in range(1, HOT_STEPS + 1) if i == 1 or sum(comb(hot_levels * i, n) for n in range(budget + 1)) <= MOST_MASKS]
+    steps = F.least(F.lit(len(deep)), F.ceil(F.log(F.col("count") / hot_run) / F.log(F.lit(2.0**hot_levels)))).cast("int")
+    hot = hot.select("turn", "run", (F.greatest(F.lit(1), steps) * hot_levels).alias("level"))
+    led = led.join(hot, ["turn", "run"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
     start = F.element_at(F.array(*(F.lit(n) for _, n in turns)), F.col("turn") + 1)
-    low = led.withColumn("s", start).selectExpr("*", f"cast(shiftrightunsigned(shiftleft(fp, s), {64 - hot_levels}) as int) as prefix")
-    masks = [m for m in range(1 << hot_levels) if m.bit_count() <= budget]
-    pair = F.explode(F.when(F.col("hot"), F.array(*(F.lit(m) for m in masks))).otherwise(F.array(F.lit(-1))))
-    low = low.select("node", "turn", "run", "fp", "prefix", pair.alias("mask"))
+    low = led.withColumn("s", start).selectExpr("*", "cast(if(level = 0, 0, shiftrightunsigned(shiftleft(fp, s), 64 - level)) as int) as prefix")
+    # the differences within the budget of prefixes of so many bits
+    masks = F.array(F.lit(-1))
+    for level in deep:
+        own = [sum(1 << b for b in bits) for n in range(budget + 1) for bits in combinations(range(level), n)]
+        masks = F.when(F.col("level") == level, F.array(*map(F.lit, own))).otherwise(masks)
+    low = low.select("node", "turn", "run", "fp", "level", "prefix", F.explode(masks).alias("mask"))
     # a pair of nodes below a hot run is named by its smaller prefix and what they differ in
-    low = low.selectExpr("node", "turn", "run", "fp", "mask", "case when mask >= 0 then least(prefix, prefix ^ mask) else -1 end as pair", "case when mask > 0 and prefix > (prefix ^ mask) then 1 else 0 end as side")
+    low = low.selectExpr("node", "turn", "run", "fp", "level", "mask", "case when mask >= 0 then least(prefix, prefix ^ mask) else -1 end as pair", "case when mask > 0 and prefix > (prefix ^ mask) then 1 else 0 end as side")
     spark = nodes.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.count() * len(turns) // TASK_ROWS)
     dealt = low.repartition(tasks, "turn", "run", "pair", "mask")
@@ -168,7 +185,7 @@ def links(nodes: DataFrame, budget: int = 2, hot_run: int = HOT_RUN, hot_levels:
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
-        got = {n: np.concatenate([b.column(n).to_numpy(zero_copy_only=False) for b in parts]) for n in ("node", "turn", "run", "fp", "mask", "pair", "side")}
+        got = {n: np.concatenate([b.column(n).to_numpy(zero_copy_only=False) for b in parts]) for n in ("node", "turn", "run", "fp", "level", "mask", "pair", "side")}
         fp = got["fp"].view(np.uint64)
         order = np.lexsort((fp, got["side"], got["mask"], got["pair"], got["run"], got["turn"]))
         got, fp = {n: x[order] for n, x in got.items()}, fp[order]
@@ -180,10 +197,10 @@ def links(nodes: DataFrame, budget: int = 2, hot_run: int = HOT_RUN, hot_levels:
         labels = np.arange(len(ids))
         right = np.concatenate([[0], np.cumsum(got["side"], dtype=np.int64)])
         middle = ends - (right[ends] - right[starts])
-        turn, mask = got["turn"][starts], got["mask"][starts]
+        turn, mask, level = got["turn"][starts], got["mask"][starts], got["level"][starts]
         for t, (_, n) in enumerate(turns):
-            for divided in (False, True):
-                pick = (turn == t) & ((mask >= 0) == divided)
+            for below in np.unique(level[turn == t]).tolist():
+                pick = (turn == t) & (level == below)
                 across = pick & (mask > 0)
                 self_ = pick & ~across & (ends - starts > 1)
                 lo, hi = np.concatenate([starts[self_], starts[across]]), np.concatenate([ends[self_], middle[across]])
@@ -191,7 +208,7 @@ def links(nodes: DataFrame, budget: int = 2, hot_run: int = HOT_RUN, hot_levels:
                 diff = np.concatenate([np.zeros(self_.sum(), np.int64), np.bitwise_count(mask[across]).astype(np.int64)])
                 full = (lo < hi) & (lo2 < hi2)
                 if full.any():
-                    for i, j in trie_links(fp, lo[full], hi[full], lo2[full], hi2[full], diff[full], n + divided * hot_levels, budget):
+                    for i, j in trie_links(fp, lo[full], hi[full], lo2[full], hi2[full], diff[full], n + below, budget):
                         labels = local_forest(len(ids), at[i], at[j], labels)
         other = np.flatnonzero(labels != np.arange(len(ids)))
         yield pa.RecordBatch.from_arrays([pa.array(ids[other]), pa.array(ids[labels[other]])], names=["u", "v"])
@@ -199,36 +216,53 @@ def links(nodes: DataFrame, budget: int = 2, hot_run: int = HOT_RUN, hot_levels:
     return dealt.mapInArrow(run_task, "u long, v long")
 
 
+def classes(docs: DataFrame, words: int = 3, budget: int = 2, hot_run: int = HOT_RUN, hot_levels: int = HOT_LEVELS) -> DataFrame:
+    """doc_id, mark, fp, class (a number of the component) and component_id: the smallest doc_id reachable over links."""
+    marked = stored(fingerprints(docs, words), "simhash")
+    nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    linked = nodes.where("least is not null").select("fp", F.col("fp").alias("node"))
+    return with_components(marked, nodes, components(links(linked, budget, hot_run, hot_levels), "simhash-links"), "fp")
+
+
+def with_components(marked: DataFrame, nodes: DataFrame, joined: DataFrame, key: str) -> DataFrame:
+    """The marked rows with their node's component, `class`, and the smallest `least` of its nodes (key, least), component_id."""
+    named = nodes.join(joined.withColumnRenamed("node", key), key, "left").select(key, "least", "component")
+    smallest = named.where("component is not null").groupBy("component").agg(F.min("least").alias("smallest"))
+    of = named.join(smallest, "component", "left").select(key, F.coalesce("component", key).alias("class"), F.coalesce("smallest", "least").alias("component_id"))
+    return marked.join(of, key, "left")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2, hot_run: int = HOT_RUN, hot_levels: int = HOT_LEVELS) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id: the smallest doc_id reachable over links."""
-    marked = stored(fingerprints(docs, words), "simhash")
-    nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
-    joined = components(links(nodes, budget, hot_run, hot_levels), "simhash-links")
-    classes = nodes.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(classes, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    made = classes(docs, words, budget, hot_run, hot_levels)
+    return made.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFrame:
-    """The documents, all columns kept, with the smallest id of each group of near-duplicates."""
-    return first_of(docs, near_duplicates(docs, words, budget))
+    """The documents, all columns kept, that stand first in each group of near-duplicates; see `first_of`."""
+    return first_of(docs, classes(docs, words, budget))
 
 
 def first_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The documents, all columns kept, with the smallest id of each class (doc_id, component_id).
+    """One document, all columns kept, of each class (doc_id, mark, class, component_id): the row with the smallest id.
 
-    Of rows with one id the first in order of text, then of the other columns that can be ordered, stays. Rows
-    without an id are no one's copies and stay.
+    A row is named by its doc_id and the mark of its text, so an id with several texts may stand in several classes
+    and loses only the rows that are copies. Several texts of that id in one class: the smallest mark stays. Rows
+    that are equal in both: the first in order of the other columns that can be ordered stays. Rows without an id
+    are no one's copies and stay.
     """
-    marks = stored(classes.select("doc_id", "component_id"), "first-marks")
-    later = marks.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(later, "doc_id", "left_anti").select(docs.columns)
-    repeated = marks.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    marks = stored(classes.where("doc_id is not null").groupBy("doc_id", "mark", "class", "component_id").agg(F.count("*").alias("rows")), "first-marks")
+    best = marks.where("doc_id = component_id").groupBy("class").agg(F.min("mark").alias("best"))
+    later = marks.join(best, "class").where("doc_id <> component_id or mark <> best")
+    marked = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__mark": row_mark()})
+    kept = marked.join(later.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")), ["__id", "__mark"], "left_anti")
+    repeated = marks.where("rows > 1").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"))
     if repeated.isEmpty():
-        return kept
-    plain = [c for c, kind in docs.dtypes if not kind.startswith(("map", "array", "struct", "variant")) and c != "text"]
+        return kept.select(docs.columns)
+    plain = [c for c, kind in docs.dtypes if not any(x in kind for x in ("map<", "variant")) and c != "text"]
     row = F.struct(*(F.col(c) for c in docs.columns))
-    first = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct("text", *plain)).alias("row"))
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(first.select("row.*"))
+    first = kept.join(repeated, ["__id", "__mark"], "left_semi").groupBy("__id", "__mark").agg(F.min_by(row, F.struct(*plain)).alias("__row"))
+    return kept.join(repeated, ["__id", "__mark"], "left_anti").select(docs.columns).unionByName(first.select("__row.*"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
