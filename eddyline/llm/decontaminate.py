@@ -6,10 +6,13 @@ look; Myers' bit-parallel distance of the whole item decides there. Both sides a
 runs of white space as one blank.
 
 The items are the query set and are taken in blocks of bounded size, each searched against all documents in one
-scan; no document leaves its task. Items shorter than `least_chars` name no text and are not searched.
+scan; no document leaves its task. Items shorter than `least_chars` are searched without edits, between word
+boundaries; as long as a name or two, such an item may be ordinary vocabulary, so `drop_leaks` drops no document for
+an item of fewer than `least_words` words (`find_leaks` reports them all).
 
-Rows: null and empty texts match nothing; null and empty items are not searched; repeated documents and repeated
-items give repeated rows; other columns are kept by `drop_leaks` and not read by `find_leaks`.
+Rows: null and empty texts match nothing; null and empty items are not searched; a null item_id stays null; repeated
+documents and repeated items give repeated rows; a very long text is searched as a whole; other columns are kept by
+`drop_leaks` and not read by `find_leaks`.
 """
 
 from __future__ import annotations
@@ -24,7 +27,10 @@ from eddyline.llm.common import blocks, table
 
 #: Edits allowed for each character of an item.
 ERROR_RATE = 0.1
+#: Items of fewer characters are searched exactly.
 LEAST_CHARS = 24
+#: Words of an item that a document is dropped for.
+LEAST_WORDS = 3
 #: Characters of items that one scan searches for.
 BLOCK_CHARS = 4 << 20
 
@@ -74,8 +80,9 @@ class Myers:
 class Item:
     """A test item, its pieces, and for each piece the runs of pieces that contain it, smallest first, the whole last."""
 
-    def __init__(self, key: int, text: str, error_rate: float):
-        self.key, self.text, self.budget = key, text, int(len(text) * error_rate)
+    def __init__(self, key: int, text: str, error_rate: float, least_chars: int = 0):
+        self.short = len(text) < least_chars
+        self.key, self.text, self.budget = key, text, 0 if self.short else int(len(text) * error_rate)
         self.pieces = pieces(text, self.budget)
         self.cuts = [at for at, _ in self.pieces] + [len(text)]
         self.runs: list[list[tuple[int, int]]] = [[] for _ in self.pieces]
@@ -99,6 +106,12 @@ class Item:
         edits = b - a - 1
         return max(0, start - (self.cuts[piece] - self.cuts[a]) - edits), min(len(text), start + self.cuts[b] - self.cuts[piece] + edits)
 
+    def bounded(self, text: str, start: int) -> bool:
+        """Whether the whole item at `start` is not a part of longer words."""
+        end = start + len(self.text)
+        before = start and text[start - 1].isalnum() and self.text[0].isalnum()
+        return not before and not (end < len(text) and text[end].isalnum() and self.text[-1].isalnum())
+
     def survives(self, text: str, piece: int, start: int) -> bool:
         for a, b in self.runs[piece][:-1]:
             lo, hi = self.span(text, piece, start, a, b)
@@ -110,10 +123,10 @@ class Item:
 class Matcher:
     """One automaton over the pieces of a block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float):
+    def __init__(self, items: list[tuple[int, str]], error_rate: float, least_chars: int = 0):
         import ahocorasick
 
-        self.items = [Item(key, text, error_rate) for key, text in items]
+        self.items = [Item(key, text, error_rate, least_chars) for key, text in items]
         where: dict[str, list[tuple[int, int]]] = {}
         for i, item in enumerate(self.items):
             for p, (_, piece) in enumerate(item.pieces):
@@ -133,6 +146,8 @@ class Matcher:
             start = last + 1 - n
             for i, p in places:
                 item = self.items[i]
+                if item.short and (i in spans or not item.bounded(text, start)):
+                    continue
                 lo, hi = item.span(text, p, start, 0, len(item.pieces))
                 own = spans.get(i)
                 if own and own[-1][0] <= lo and hi <= own[-1][1] or not item.survives(text, p, start):
@@ -158,26 +173,26 @@ class Matcher:
         return out
 
 
-_matchers: dict[int, Matcher] = {}
+_matchers: dict[tuple, Matcher] = {}
 
 
-def matcher(items: list[tuple[int, str]], error_rate: float) -> Matcher:
+def matcher(items: list[tuple[int, str]], error_rate: float, least_chars: int) -> Matcher:
     """The matcher of this worker for a block of items; the last few are kept."""
-    key = hash((tuple(items), error_rate))
+    key = (tuple(items), error_rate, least_chars)
     if key not in _matchers:
         if len(_matchers) > 3:
             _matchers.clear()
-        _matchers[key] = Matcher(items, error_rate)
+        _matchers[key] = Matcher(items, error_rate, least_chars)
     return _matchers[key]
 
 
-def item_blocks(benchmark: DataFrame, least_chars: int, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(benchmark: DataFrame, least_words: int, block_chars: int) -> Iterator[list[tuple[int, str]]]:
     """The normalised items in blocks of bounded size; the driver holds one block at a time."""
     block: list[tuple[int, str]] = []
     size = 0
     for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text").toLocalIterator():
         text = normal(r["text"])
-        if len(text) < least_chars:
+        if not text or text.count(" ") + 1 < least_words:
             continue
         if block and size + len(text) > block_chars:
             yield block
@@ -196,12 +211,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = spark.createDataFrame([], FOUND)
-    for block in item_blocks(benchmark, least_chars, block_chars):
+    for block in item_blocks(benchmark, 1, block_chars):
         shared = spark.sparkContext.broadcast(block)  # at most block_chars characters, or one item
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
-            m = matcher(items, error_rate)
+            m = matcher(items, error_rate, least_chars)
             for part in blocks(batches, 1):
                 rows = [(d, items[i][0], *rest) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for i, *rest in m.find(normal(t))]
                 if rows:
@@ -212,14 +227,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, least_chars: int = LEAST_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The documents, all columns kept, in which no item is found."""
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, least_chars: int = LEAST_CHARS, block_chars: int = BLOCK_CHARS, least_words: int = LEAST_WORDS) -> DataFrame:
+    """The documents, all columns kept, in which no item of `least_words` words or more is found."""
     at = docs.columns.index("text")
-    for block in item_blocks(benchmark, least_chars, block_chars):
+    for block in item_blocks(benchmark, least_words, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            m = matcher(shared.value, error_rate)
+            m = matcher(shared.value, error_rate, least_chars)
             for part in blocks(batches, at):
                 yield part.filter(pa.array([not m.find(normal(t), first_only=True) for t in part.column(at).to_pylist()]))
 
