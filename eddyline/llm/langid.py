@@ -2,15 +2,16 @@
 
 Bytes are embedded; filters of several widths slide over a window of fixed length; each filter keeps its maximum
 and a softmax over those names the language. The network is trained on the driver on a bounded sample of
-labelled windows. A whole text is cut into windows that overlap by the widest filter less one, so no byte
+labelled windows, drawn from all windows of the whole labelled texts. A whole text is cut into windows that overlap by the widest filter less one, so no byte
 sequence is missed; a document's probabilities are the means over its windows, weighted by their bytes.
 
 When predicting, embedding and filter collapse into one table a filter offset (256 rows), so a window costs table
 look-ups and additions only.
 
 Rows: a null text, or one without a letter, is `und` with score 0; if no row is labelled, every text is. Only the
-text is looked at in a prediction. Repeated rows give repeated rows; a null doc_id is not held out and is not
-learned from.
+text is looked at in a prediction. Repeated rows give repeated rows and are learned from once; a null doc_id is not
+held out and is not learned from; of languages with equal probabilities the first by name counts. A very long text is
+read whole, one window after another. Other columns are kept by the filters and not read.
 """
 
 from __future__ import annotations
@@ -27,10 +28,12 @@ from eddyline.llm.common import blocks, table
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS, EMBEDDING = 24, 8
-#: Most labelled rows that are learned from, shared equally by the languages.
-TRAIN_ROWS = 6000
-#: Characters of a labelled row that are learned from, from a place that its hash picks.
-TRAIN_CHARS = 600
+#: Most labelled windows that are learned from, shared equally by the languages.
+TRAIN_WINDOWS = 6000
+#: Most languages that are learned, those with the most windows.
+MOST_LANGUAGES = 256
+#: Least characters of a made-up text.
+FOREIGN_CHARS = 600
 UNKNOWN = "und"
 #: Class of a network with rejection: texts in none of the learned languages.
 REJECT = "\0reject"
@@ -183,7 +186,7 @@ def foreign(n: int, texts: list[str], seed: int = 13) -> list[str]:
         kind, parts, size = i % 3 if scripts else 1 + i % 2, [], 0
         a, b = scripts[int(rng.integers(len(scripts)))] if scripts else (0, 0)
         short = a >= 0x3041  # scripts that write few blanks or short words
-        while size < TRAIN_CHARS:
+        while size < FOREIGN_CHARS:
             k = int(rng.integers(1, 13))
             if kind == 0:
                 w = "".join(map(chr, rng.integers(a, b + 1, k + 8 * (short and i % 2))))
@@ -200,48 +203,76 @@ def foreign(n: int, texts: list[str], seed: int = 13) -> list[str]:
     return out
 
 
-def train(docs: DataFrame, most_rows: int = TRAIN_ROWS, reject: bool = False) -> ByteCnn:
-    """The network, learned from at most `most_rows` labelled rows that are not held out.
+def window_count(size: F.Column, overlap: int = max(WIDTHS) - 1) -> F.Column:
+    """How many windows `windows` cuts a text of so many bytes into."""
+    return F.greatest(F.lit(1), F.ceil((size - overlap) / (WINDOW - overlap))).cast("long")
 
-    With `reject` it also learns a class of made-up texts, as many as a language has rows on average.
 
-    Counts by language come first; then one scan keeps the rows whose hash lies under a threshold that leaves each
-    language its share, somewhat more in fact, and the excess with the largest hashes goes. So the sample is the
-    same however the table is laid out, and its size does not depend on the table's.
+def sample(rows: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """Windows (lang, ticket, number, window) of labelled texts, each with its language's chance.
+
+    A text's ticket, a hash of it, decides how many of its windows are drawn, and which: all have the same chance,
+    wherever in the text they stand. So the sample does not depend on how the table is laid out, and its size, the
+    chance times all windows, not on the table's. Only texts that give a window reach Python, each text once.
+    """
+    chance = F.element_at(F.create_map(*(F.lit(v) for lang, p in shares.items() for v in (lang, float(p)))), F.col("lang"))
+    ticket = F.xxhash64(F.col("text"), F.lit("sample"))
+    drawn = rows.where(F.col("lang").isin(*shares)).select("lang", "text", ticket.alias("ticket"), (chance * window_count(F.octet_length("text"))).alias("due"))
+    drawn = drawn.where(F.pmod("ticket", F.lit(1 << 40)) < F.col("due") * (1 << 40)).dropDuplicates(["lang", "ticket"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, 1):
+            out: list[tuple] = []
+            for lang, text, ticket, due in zip(*(c.to_pylist() for c in block.columns), strict=True):
+                cut, has = windows(text.encode("utf-8", "surrogatepass"))
+                rng = np.random.default_rng(ticket % (1 << 64))
+                n = int(due) + ((ticket % (1 << 40)) / (1 << 40) < due - int(due))
+                for k in sorted(rng.choice(len(cut), min(n, len(cut)), replace=False).tolist()):
+                    out.append((lang, ticket, k, cut[k][: has[k]].tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["lang", "ticket", "number", "window"])
+
+    return drawn.mapInArrow(run, "lang string, ticket long, number long, window binary")
+
+
+def train(docs: DataFrame, most_windows: int = TRAIN_WINDOWS, reject: bool = False) -> ByteCnn:
+    """The network, learned from at most `most_windows` windows of all labelled rows that are not held out.
+
+    With `reject` it also learns a class of made-up texts, as many as a language has windows on average. Counts of
+    windows by language come first; they set each language's chance for its share and somewhat more, and of what is
+    drawn the excess with the largest tickets goes.
     """
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 0))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 0)).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(window_count(F.octet_length("text"))).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     languages = sorted(counts)
     model = ByteCnn(languages + [REJECT] * (reject and bool(languages)))
     if not languages:
         return model
-    share = max(1, most_rows // len(languages))
-    ticket = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 40))
-    bound = F.create_map(*(F.lit(v) for lang in languages for v in (lang, int(min(1.0, 1.3 * (share + 30) / counts[lang]) * (1 << 40)))))
-    kept = rows.withColumn("ticket", ticket).where(F.col("ticket") < F.element_at(bound, F.col("lang")))
-    start = F.lit(1) + F.pmod(F.xxhash64("ticket"), F.greatest(F.lit(1), F.length("text") - TRAIN_CHARS)).cast("int")
-    kept = kept.select("lang", "ticket", F.substring(F.col("text"), start, F.lit(TRAIN_CHARS)).alias("text"))
+    share = max(1, most_windows // len(languages))
     rng = np.random.default_rng(5)
     xs, ys = [], []
     left = dict.fromkeys(languages, share)
     texts = []
 
-    def learn(text: str, number: int) -> None:
-        raw = text.encode("utf-8", "surrogatepass")
+    def learn(raw: bytes, number: int) -> None:
         short = raw[(a := int(rng.integers(0, max(1, len(raw) - 20)))) : a + int(rng.integers(12, 120))]  # texts may be short
-        for piece in (raw[:WINDOW], short):
+        for piece in (raw, short):
             xs.append(np.frombuffer(piece.ljust(WINDOW, b"\0"), np.uint8))
             ys.append(number)
 
-    for r in sorted(kept.collect(), key=lambda r: (r["ticket"], r["lang"], r["text"])):
-        if not left[r["lang"]] or not any(map(str.isalpha, r["text"])):
+    kept = sample(rows, {lang: min(1.0, 1.3 * (share + 30) / n) for lang, n in counts.items()})
+    for r in sorted(kept.collect(), key=lambda r: (r["ticket"], r["lang"], r["number"])):
+        text = bytes(r["window"]).decode("utf-8", "ignore")
+        if not left[r["lang"]] or not has_letter(text):
             continue
         left[r["lang"]] -= 1
-        learn(r["text"], languages.index(r["lang"]))
-        texts.append(r["text"])
+        learn(bytes(r["window"]), languages.index(r["lang"]))
+        texts.append(text)
     if reject:
         for t in foreign(-(-len(texts) // len(languages)), texts):
-            learn(t, len(languages))
+            cut, has = windows(t.encode())
+            k = int(rng.integers(len(cut)))
+            learn(cut[k][: has[k]].tobytes(), len(languages))
     if xs:
         least = -(-LEAST_STEPS * 64 // len(xs)) if reject else 0
         model.train(np.stack(xs), np.array(ys), epochs=max(6, least))
