@@ -5,13 +5,19 @@ the one with the smallest page_id is a response, the others are revisits that re
 Which payloads repeat is found on digests alone; the few repeated digests are stored and joined back, so that the
 pages themselves are shuffled only if that table is too large to broadcast by the session's threshold.
 
-Indexing: each archive, read back, yields a capture run sorted by URL key and time. Runs are stored, then dealt by
-ranges of (URL key, time, page), so that one URL with a third of all captures spreads over many tasks, and each
-task merges its k run slices with a loser tree. Partition by partition the result is one ordered history.
+Indexing: each archive, read back, becomes a capture run: its captures sorted by URL key and time, written to a file
+in blocks of bounded size, with the first and last key of every block as a sparse index. Runs are merged externally:
+the sparse index is cut into ranges of keys of about equal bytes, so that one URL with a third of all captures spreads
+over many tasks, and the task of a range opens each run at the blocks that meet its range and merges the streams with
+a loser tree, holding one block of each. With more runs than the fan-in, groups of runs are merged into longer runs
+first, in as many passes as that takes. Range by range the result is one ordered history.
+
+A revisit's digest and size are checked against the response that it refers to, as that was read back.
 
 Rows: a null html is an empty payload, a null url has no target URI and the key ""; without page_id a record is
 named after its payload. Rows that share the smallest page_id of their payload are all responses. Blanks and
-control characters in URLs are percent-encoded. Other columns are not read. An empty table makes no archive.
+control characters in URLs are percent-encoded. Other columns are not read. An empty table makes no archive. A very
+long page is one record, held whole by one task at a time.
 """
 
 from __future__ import annotations
@@ -21,7 +27,9 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator, Sequence
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -29,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eddyline.llm.common import blocks, shared_dir, stored, table
-from eddyline.llm.files import open_fs, whole
+from eddyline.llm.files import content, open_fs, whole
 
 LEAST_REVISIT = 100
 #: Compressed bytes after which an archive is closed.
@@ -136,13 +144,14 @@ def index_entries(archive: str, data: bytes) -> list[Entry]:
 
 
 class LoserTree:
-    """Merges k sorted lists: inner nodes keep the loser of their match, so one path is replayed for each item."""
-
-    def __init__(self, lists: Sequence[Sequence[Entry]], key=lambda e: e[:5]):
-        self.lists, self.key = [x for x in lists if x], key
-        self.at = [0] * len(self.lists)
-        self.heads = [key(x[0]) for x in self.lists]  # None: the list is at its end
-        k = len(self.lists)
+    """Merges k sorted streams: inner nodes keep the loser of their match, so one path is replayed for each item."""
+
+    def __init__(self, streams: Iterable[Iterable[Entry]], key=lambda e: e[:5]):
+        self.key = key
+        self.rest = [iter(x) for x in streams]
+        self.items = [next(x, None) for x in self.rest]
+        self.heads = [None if e is None else key(e) for e in self.items]  # None: the stream is at its end
+        k = len(self.rest)
         self.losers = [-1] * k
         for leaf in range(k):
             self._play(leaf)
@@ -153,7 +162,7 @@ class LoserTree:
 
     def _play(self, leaf: int) -> None:
         """From a leaf to the root. While the tree is built, the first to reach a node waits there."""
-        k, winner = len(self.lists), leaf
+        k, winner = len(self.rest), leaf
         node = (leaf + k) // 2
         while node:
             other = self.losers[node]
@@ -166,11 +175,10 @@ class LoserTree:
         self.losers[0] = winner
 
     def __iter__(self) -> Iterator[Entry]:
-        while self.lists and self.heads[w := self.losers[0]] is not None:
-            items, i = self.lists[w], self.at[w]
-            yield items[i]
-            self.at[w] = i + 1
-            self.heads[w] = self.key(items[i + 1]) if i + 1 < len(items) else None
+        while self.rest and self.heads[w := self.losers[0]] is not None:
+            yield self.items[w]
+            e = self.items[w] = next(self.rest[w], None)
+            self.heads[w] = None if e is None else self.key(e)
             self._play(w)
 
 
@@ -217,68 +225,197 @@ def write_archives(pages: DataFrame, out: str, least_revisit: int = LEAST_REVISI
     return spark.read.schema(kinds).parquet(f"{out}/manifest")
 
 
-RUN = "url_key string, captured string, page_key long, archive string, offset long, length long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-_NAMES = [x.split()[0] for x in RUN.split(", ")]
-_KINDS = [pa.string() if x.endswith("string") else pa.int64() for x in RUN.split(", ")]
-#: Index rows in one Arrow batch.
-BATCH_ROWS = 20_000
+CAPTURE = "url_key string, captured string, page_key long, archive string, offset long, length long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+_NAMES = [x.split()[0] for x in CAPTURE.split(", ")]
+_KINDS = [pa.string() if x.endswith("string") else pa.int64() for x in CAPTURE.split(", ")]
+#: Captures in a block of a run, and in one Arrow batch; runs that are merged at once; bytes of blocks to a range.
+BLOCK_ROWS, BATCH_ROWS, FAN_IN, RANGE_BYTES = 512, 20_000, 256, 32 << 20
+_KEY = ("url_key", "captured", "page_key", "archive", "offset")
+_END = ", ".join(f"{c} {'long' if c in ('page_key', 'offset') else 'string'}" for c in _KEY)
+#: Blocks of runs: which run, their place in its file, and their first and last key.
+RUNS = f"run long, path string, at long, bytes long, least struct<{_END.replace(' ', ': ').replace(',:', ',')}>, last struct<{_END.replace(' ', ': ').replace(',:', ',')}>"
+_END_KIND = pa.struct([(c, pa.int64() if c in ("page_key", "offset") else pa.string()) for c in _KEY])
+_RUN_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.int64(), _END_KIND, _END_KIND]
 
 
 def _rows(entries: list[Entry]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*entries, strict=True), _KINDS, strict=True)], names=_NAMES)
 
 
-def capture_runs(manifest: DataFrame) -> DataFrame:
-    """The index of each archive, read back from the file, as a run in the order of `url_key, captured, page_id`."""
+def _end(e: Entry) -> dict:
+    return dict(zip(_KEY, e[:5], strict=True))
+
+
+def _key(end: dict) -> tuple:
+    return tuple(end[c] for c in _KEY)
+
+
+def write_run(entries: Iterable[Entry], run: int, path: str, block_rows: int = BLOCK_ROWS) -> Iterator[pa.RecordBatch]:
+    """Write sorted captures as a file of blocks; yields the sparse index, one row a block."""
+    index: list[tuple] = []
+    held: list[Entry] = []
+    at = 0
+
+    def block(out) -> None:
+        nonlocal at
+        sink = pa.BufferOutputStream()
+        rows = _rows(held)
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_batch(rows)
+        data = sink.getvalue()
+        out.write(data)
+        index.append((run, path, at, data.size, _end(held[0]), _end(held[-1])))
+        at += data.size
+        held.clear()
+
+    with whole(path) as out:
+        for e in entries:
+            held.append(e)
+            if len(held) == block_rows:
+                block(out)
+        if held:
+            block(out)
+    if index:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*index, strict=True), _RUN_KINDS, strict=True)], names=["run", "path", "at", "bytes", "least", "last"])
+
+
+def read_run(places: Iterable[tuple[str, int, int]], least: tuple | None, end: tuple | None) -> Iterator[Entry]:
+    """The captures of a run's blocks (path, at, bytes) from key `least` on, before key `end`: one block is held at a time."""
+    for path, at, size in places:
+        with pa.ipc.open_stream(content(path, at, size)) as reader:
+            for batch in reader:
+                for e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if end is not None and e[:5] >= end:
+                        return
+                    if least is None or e[:5] >= least:
+                        yield e
+
+
+def capture_runs(manifest: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The sparse index of the capture runs, one for each archive, read back from its file and sorted."""
+    spark = manifest.sparkSession
+    out = shared_dir(spark, "warc-runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                system, at = open_fs(path)
-                with system.open_input_file(at) as f:
-                    entries = index_entries(path, f.read())
-                for i in range(0, len(entries), BATCH_ROWS):
-                    yield _rows(entries[i : i + BATCH_ROWS])
+                entries = index_entries(path, content(path))  # an archive has a bounded size, or one record
+                name = int.from_bytes(hashlib.blake2b(path.encode(), digest_size=8).digest(), "little", signed=True)
+                yield from write_run(entries, name, f"{out}/{name & (1 << 64) - 1:016x}.run", block_rows)
 
     tasks = max(1, min(manifest.count(), MOST_TASKS))  # given as a number, so that the few small rows still spread
-    return manifest.select("path").repartition(tasks).mapInArrow(run, RUN)
+    return stored(manifest.select("path").repartition(tasks).mapInArrow(run, RUNS), "warc-index")
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
-    """Globally ordered capture histories. `position` grows along the whole order."""
+def range_ends(runs: DataFrame, ranges: int) -> list[tuple]:
+    """First keys of all ranges but the first: the driver holds one key for each RANGE_BYTES of runs."""
+    if ranges < 2:
+        return []
+    firsts = runs.select("least.*").repartitionByRange(ranges, *_KEY).sortWithinPartitions(*_KEY)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices: dict[str, list[Entry]] = {}
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.slice(0, 1)
+                return
+
+    return sorted(tuple(r) for r in firsts.mapInArrow(first, _END).collect())[1:]
+
+
+def _slices(runs: DataFrame, ends: list[tuple], fan_in: int, spread: bool) -> DataFrame:
+    """Rows (team, range, run, path, at, bytes, least key): blocks of runs for each range that they meet, teams of `fan_in` runs."""
+    names = runs.select("run").distinct()
+    if spread:
+        from pyspark.sql import Window
+
+        numbered = names.withColumn("team", F.floor((F.row_number().over(Window.orderBy("run")) - 1) / fan_in).cast("long"))  # one small row a run
+        runs = runs.join(numbered, "run")
+    else:
+        runs = runs.withColumn("team", F.lit(0).cast("long"))
+    kinds = [pa.int64(), pa.int64(), *_RUN_KINDS[:5]]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for entry in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                slices.setdefault(entry[3], []).append(entry)
-        for part in slices.values():
-            part.sort(key=lambda e: e[:5])  # in order already unless blocks of a run arrived swapped; linear then
-        base = TaskContext.get().partitionId() << 40
-        out: list[Entry] = []
-        made = 0
-
-        def batch() -> pa.RecordBatch:
-            nonlocal made
-            rows = _rows(out)
-            made += len(out)
-            out.clear()
-            return pa.RecordBatch.from_arrays([*rows.columns, pa.array(range(base + made - len(rows), base + made), pa.int64())], names=[*_NAMES, "position"])
-
-        for entry in LoserTree([slices[k] for k in sorted(slices)]):
-            out.append(entry)
-            if len(out) == BATCH_ROWS:
+            out = []
+            for team, run, path, at, size, least, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for k in range(bisect_right(ends, _key(least)), bisect_right(ends, _key(last)) + 1):
+                    out.append((team, k, run, path, at, size, least))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["team", "range", "run", "path", "at", "bytes", "least"])
+
+    rows = runs.select("team", "run", "path", "at", "bytes", "least", "last")
+    return rows.mapInArrow(meet, "team long, range long, " + RUNS.rpartition(", last")[0])
+
+
+def _merged(slices: Iterator[pa.RecordBatch], ends: list[tuple]) -> Iterator[tuple[int, int, Iterator[Entry]]]:
+    """(team, range, its captures in order) from the blocks of each, sorted by team, range, run and key."""
+
+    def rows() -> Iterator[tuple]:
+        for batch in slices:
+            yield from zip(*(batch.column(n).to_pylist() for n in ("team", "range", "run", "path", "at", "bytes")), strict=True)
+
+    for (team, k), own in groupby(rows(), lambda r: r[:2]):
+        least, end = ends[k - 1] if k else None, ends[k] if k < len(ends) else None
+        streams = [read_run([r[3:] for r in places], least, end) for _, places in groupby(list(own), lambda r: r[2])]
+        yield team, k, iter(LoserTree(streams))
+
+
+def merge_runs(runs: DataFrame, fan_in: int = FAN_IN, range_bytes: int = RANGE_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Globally ordered capture histories from the sparse index of runs. `position` grows along the whole order."""
+    spark = runs.sparkSession
+    while True:
+        size = runs.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count_distinct("run").alias("runs")).first()
+        ends = range_ends(runs, min(MOST_TASKS, -(-size["bytes"] // range_bytes)))
+        if size["runs"] <= fan_in:
+            break
+        out = shared_dir(spark, "warc-runs")
+
+        def longer(batches: Iterator[pa.RecordBatch], ends=ends, out=out) -> Iterator[pa.RecordBatch]:
+            for team, k, entries in _merged(batches, ends):
+                yield from write_run(entries, team, f"{out}/{team:09d}-{k:09d}.run", block_rows)
+
+        # a team's ranges may be narrow: several pairs of team and range share a task
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(ends) + 1)
+        slices = _slices(runs, ends, fan_in, True).repartition(tasks, "team", "range").sortWithinPartitions("team", "range", "run", "least")
+        runs = stored(slices.mapInArrow(longer, RUNS), "warc-index")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, k, entries in _merged(batches, ends):
+            out: list[Entry] = []
+            base = k << 40
+
+            def batch(out=out) -> pa.RecordBatch:
+                nonlocal base
+                rows = _rows(out)
+                made = pa.RecordBatch.from_arrays([*rows.columns, pa.array(range(base, base + len(out)), pa.int64())], names=[*_NAMES, "position"])
+                base += len(out)
+                out.clear()
+                return made
+
+            for entry in entries:
+                out.append(entry)
+                if len(out) == BATCH_ROWS:
+                    yield batch()
+            if out:
                 yield batch()
-        if out:
-            yield batch()
 
-    n = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return runs.repartitionByRange(n, "url_key", "captured", "page_key", "archive", "offset").mapInArrow(run, RUN + ", position long")
+    slices = _slices(runs, ends, fan_in, False).repartitionById(len(ends) + 1, F.col("range").cast("int")).sortWithinPartitions("team", "range", "run", "least")
+    return slices.mapInArrow(run, CAPTURE + ", position long")
+
+
+def check_revisits(captures: DataFrame) -> None:
+    """Raise if a revisit's digest or size is not that of the response it refers to, as read back."""
+    claimed = captures.where("record_type = 'revisit'").groupBy("refers_to", "payload_digest").agg(F.min("payload_bytes").alias("low"), F.max("payload_bytes").alias("high"))
+    there = captures.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.min("payload_bytes").alias("size"))
+    wrong = claimed.join(there, ["refers_to", "payload_digest"], "left").where("size is null or low <> size or high <> size").first()
+    if wrong is not None:
+        raise ValueError(f"a revisit of page {wrong['refers_to']} has another payload than the response")
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_archives(table(spark, sf_dir, "pages"), shared_dir(spark, "warc"))
-    merged = merge_runs(stored(capture_runs(manifest), "warc-runs"))
+    merged = stored(merge_runs(capture_runs(manifest)), "warc-merged")
+    check_revisits(merged)
     return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
 
 
