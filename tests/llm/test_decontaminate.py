@@ -57,9 +57,9 @@ def test_frames(spark):
     rows = [(1, f"Before. THE quick  brown\nfox jumps over the lazy dog near the rivr; after", "k"), (2, "nothing of it", "k"), (3, None, "k"), (4, "", "k"), (5, "the quick brown fox short", "k")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
     got = [(r["doc_id"], r["item_id"], r["distance"]) for r in D.find_leaks(docs, items).collect()]
-    assert got == [(1, 1, 1)]
+    assert sorted(got) == [(1, 1, 1), (5, 4, 0)]  # items of fewer than 24 characters are found exactly
     assert sorted(r["doc_id"] for r in D.drop_leaks(docs, items).collect()) == [2, 3, 4, 5]
     small = D.find_leaks(docs, items, block_chars=10)  # one item a block
-    assert [(r["doc_id"], r["item_id"]) for r in small.collect()] == [(1, 1)]
+    assert sorted((r["doc_id"], r["item_id"]) for r in small.collect()) == [(1, 1), (5, 4)]
     assert D.find_leaks(docs.where("false"), items).count() == 0 and D.find_leaks(docs, items.where("false")).count() == 0
     assert D.drop_leaks(docs, items.where("false")).count() == 5

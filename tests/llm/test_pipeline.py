@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as C
-from eddyline.llm import decontaminate, secrets, simhash, tokens
+from eddyline.llm import decontaminate, secrets, tokens
 from eddyline.llm.common import stored
+from test_shingles import classes
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,16 +25,7 @@ def test_stages_one_by_one(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, t in texts.items() if t and any(map(str.isalpha, t))}
 
     ids = sorted(r["doc_id"] for r in kept.collect())
-    fps = {i: simhash.fingerprint(texts[i]) for i in ids}
-    group = {i: i for i in ids}
-    for _ in ids:
-        before = dict(group)
-        for i in ids:
-            for j in ids:
-                if (fps[i] ^ fps[j]).bit_count() <= 2:
-                    group[i] = min(group[i], group[j])
-        if group == before:
-            break
+    group = classes({i: texts[i] for i in ids})
     kept = stored(stages["near_duplicates"](spark, kept, SF), "t2")
     assert kept.columns == columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(group.values()))
 
