@@ -80,16 +80,22 @@ def overlapping(df: DataFrame, start: Column, us: int, by: Sequence[str], column
     return events.join(starts, on).where(inside).drop(starts["_bucket"], *(f"_k{i}" for i in range(len(by)))).drop("_bucket", "_from")
 
 
-def by_intervals(df: DataFrame, intervals: DataFrame, by: Sequence[str], inclusive: bool = False) -> DataFrame:
+def by_intervals(df: DataFrame, intervals: DataFrame, by: Sequence[str], inclusive: bool = False, bucket_us: int = 3_600_000_000) -> DataFrame:
     """Partitions that patterns start and end: rows (by, `_from`, `_to`, further columns) of `intervals`, in microseconds.
 
     An event belongs to every interval of its key that it falls into: after the start (or at it, if inclusive) and
-    before the end; an open end is null. `context_id` is the start. An equi-join on the key with a range.
+    before the end; an open end is null. `context_id` is the start. An equi-join on the key and a bucket of time: an
+    interval is in every bucket that it covers, up to the last event's, so choose buckets near the usual interval.
     """
+    end = df.agg((F.max("_ts") + 1).alias("_end"))
     spans = intervals.select(*(F.col(b).alias(f"_k{i}") for i, b in enumerate(by)), *(c for c in intervals.columns if c not in by)).withColumn("context_id", F.col("_from"))
+    spans = spans.crossJoin(F.broadcast(end))  # one row
+    low, high = F.floor(F.col("_from") / bucket_us), F.floor(F.least(F.coalesce("_to", "_end"), F.col("_end")) / bucket_us)
+    spans = spans.withColumn("_bucket", F.explode(F.when(low <= high, F.sequence(low, high)))).drop("_end")
+    events = df.withColumn("_bucket", F.floor(F.col("_ts") / bucket_us))
     inside = (F.col("_ts") >= F.col("_from") if inclusive else F.col("_ts") > F.col("_from")) & (F.col("_to").isNull() | (F.col("_ts") < F.col("_to")))
-    on = [df[b] == spans[f"_k{i}"] for i, b in enumerate(by)]
-    return df.join(spans, [*on, inside]).drop("_from", "_to", *(f"_k{i}" for i in range(len(by))))
+    on = [events["_bucket"] == spans["_bucket"], *(events[b] == spans[f"_k{i}"] for i, b in enumerate(by))]
+    return events.join(spans, on).where(inside).drop(spans["_bucket"], *(f"_k{i}" for i in range(len(by)))).drop("_bucket", "_from", "_to")
 
 
 def daily(df: DataFrame, ts: str, start: str, end: str) -> DataFrame:

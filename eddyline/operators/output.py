@@ -167,10 +167,27 @@ class Counters:
     time: int
 
 
+@dataclass(frozen=True)
+class InsertsFrom:
+    """An output condition that is a count: n rows or more came in since the last output."""
+
+    n: int
+
+    def __call__(self, c: Counters) -> bool:
+        return c.count_insert >= self.n
+
+
 def when(df: DataFrame, condition: Callable[[Counters], bool], by: Sequence[str] = ()) -> DataFrame:
-    """Flush when a condition over counters becomes true: a fold over each key's rows in order."""
+    """Flush when a condition over counters becomes true: a fold over each key's rows in order, InsertsFrom as a plan."""
     import pandas as pd
 
+    if isinstance(condition, InsertsFrom):
+        own = F.when(F.col("_op") == "-", 0).otherwise(1) if "_op" in df.columns else F.lit(1)
+        upto = ordered(by).rowsBetween(Window.unboundedPreceding, 0)
+        whole = Window.partitionBy(*by)
+        numbered = df.withColumn("_came", own).withColumn("_n", F.sum("_came").over(upto) - F.col("_came"))
+        numbered = numbered.withColumn("_batch", F.floor(F.col("_n") / condition.n)).withColumn("_full", F.floor(F.sum("_came").over(whole) / condition.n))
+        return numbered.where("_batch < _full").drop("_came", "_n", "_full")
     schema = f"{df._jdf.schema().toDDL()}, _batch long"
     has_op = "_op" in df.columns
 

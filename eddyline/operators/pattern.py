@@ -1,7 +1,8 @@
 """Event-sequence patterns.
 
-Two ways to run one: forms that a window or join can state run as DataFrame plans (`every_followed_by`,
-`absent_within`); all others run as state machines over a key's events in order, in `match`.
+Two ways to run one: forms that a window or an aggregation can state run as DataFrame plans (`plan`,
+`every_followed_by`, `absent_within`); all others run as state machines over a key's events in order. `match` takes
+the first way where predicates and selected values are columns and the form has a plan.
 
 Nodes are declared as a tree; running it, each becomes a state that reports to its parent: `true` with the captured
 events and whether it is finished, or `false` for good. The clock moves to an event's time before the event, so a
@@ -13,7 +14,8 @@ from __future__ import annotations
 import heapq
 import itertools
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -60,10 +62,10 @@ class Node:
 
 @dataclass(frozen=True)
 class Atom(Node):
-    """An event that meets a predicate of (event, captured so far), captured under a tag."""
+    """An event that meets a predicate, captured under a tag: a column, or a function of (event, captured so far)."""
 
     tag: str
-    predicate: Callable[[Event, Match], bool]
+    predicate: Callable[[Event, Match], bool] | Column
     consume: int | None = None
 
     def start(self, parent, match, run):
@@ -81,7 +83,7 @@ class Every(Node):
 @dataclass(frozen=True)
 class EveryDistinct(Node):
     child: Node
-    key: Callable[[Match], Any]
+    key: Callable[[Match], Any] | Column
     us: int | None
 
     def start(self, parent, match, run):
@@ -173,7 +175,7 @@ class TimerAt(Node):
         return _Timer(self, parent, match, run, next((t for t in self.instants if t > run.now), None))
 
 
-def atom(tag: str, predicate: Callable[..., bool] = lambda e, m: True, consume: int | None = None) -> Node:
+def atom(tag: str, predicate: Callable[..., bool] | Column = lambda e, m: True, consume: int | None = None) -> Node:
     return Atom(tag, predicate, consume)
 
 
@@ -586,11 +588,20 @@ def run_pattern(node: Node, events: Sequence[Event], start: int | None = None, e
     return out
 
 
-def match(df: DataFrame, node: Node, by: Sequence[str], select: dict[str, tuple[str, Callable[[Match], Any]]], end: int | None = None, **options) -> DataFrame:
-    """Matches of each key: its `by` columns, `_at` and the selected columns (name: (type, function of the match))."""
+def match(df: DataFrame, node: Node, by: Sequence[str], select: dict[str, tuple[str, Callable[[Match], Any]] | Column], end: int | None = None, **options) -> DataFrame:
+    """Matches of each key: its `by` columns, `_at` and the selected columns.
+
+    select: name -> (type, function of the match), or columns over the tags' structs, for forms that have a plan.
+    """
+    if any(isinstance(c, Column) for c in select.values()):
+        made = plan(df, node, by) if not options and end is None else None
+        if made is None:
+            raise TypeError("columns can be selected only from a pattern that has a plan")
+        return made.select(*by, "_at", *(c.alias(n) for n, c in select.items()))
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([*(f"{b} {fields[b]}" for b in by), "_at long", *(f"{n} {kind}" for n, (kind, _) in select.items())])
     names = [*by, "_at", *select]
+    df, node = evaluated(df, node)
 
     def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         events = pdf.sort_values(["_ts", "_seq"]).to_dict("records")
@@ -600,9 +611,81 @@ def match(df: DataFrame, node: Node, by: Sequence[str], select: dict[str, tuple[
     return df.groupBy(*(list(by) or [F.lit("all")])).applyInPandas(fold, schema)
 
 
+def evaluated(df: DataFrame, node: Node) -> tuple[DataFrame, Node]:
+    """The events with a flag for each predicate that is a column, and the pattern over those flags."""
+    made: dict[str, Column] = {}
+
+    def walk(n: Any) -> Any:
+        if isinstance(n, Atom):
+            if not isinstance(n.predicate, Column):
+                return n
+            name = f"_meets{len(made)}"
+            made[name] = F.coalesce(n.predicate, F.lit(False))
+            return replace(n, predicate=lambda e, m: bool(e[name]))
+        if isinstance(n, tuple):
+            return tuple(map(walk, n))
+        if not isinstance(n, Node):
+            return n
+        changed = {f: walk(getattr(n, f)) for f in ("child", "children", "end") if hasattr(n, f)}
+        return replace(n, **changed) if changed else n
+
+    node = walk(node)
+    return df.withColumns(made) if made else df, node
+
+
 # ---- forms that are plans ----------------------------------------------------------------------------------
 
 
+def _plain(*nodes: Node | None) -> bool:
+    return all(isinstance(n, Atom) and isinstance(n.predicate, Column) and n.consume is None for n in nodes)
+
+
+def _met(n: Atom) -> Column:
+    return F.coalesce(n.predicate, F.lit(False))
+
+
+def plan(df: DataFrame, node: Node, by: Sequence[str]) -> DataFrame | None:
+    """The matches as a plan: `by`, `_at` and for each tag its event as a struct; None if the form has none.
+
+    Forms, over atoms whose predicates are columns: a and b; a or b; every a -> b (within d); every distinct a; a
+    until b (the tag of a is a list); low repetitions at least. All but every a -> b match once a key, or once a
+    distinct value, and are aggregations with partial results before the shuffle.
+    """
+    event = F.struct("_ts", "_seq", *(c for c in df.columns if c not in ("_ts", "_seq")))
+    at = F.struct("_ts", "_seq")
+    first = lambda ok: F.min_by(event, F.when(ok, at))  # noqa: E731  null where none is
+    if isinstance(node, And) and _plain(*node.children):
+        tags = [n.tag for n in node.children]
+        found = df.groupBy(*by).agg(*(F.when(F.max(_met(n)), first(_met(n))).alias(n.tag) for n in node.children))
+        for t in tags:
+            found = found.where(F.col(t).isNotNull())
+        return found.withColumn("_at", F.greatest(*(F.col(f"{t}._ts") for t in tags)) if len(tags) > 1 else F.col(f"{tags[0]}._ts"))
+    if isinstance(node, Or) and _plain(*node.children):
+        any_ = reduce(lambda a, b: a | b, map(_met, node.children))
+        which = F.coalesce(*(F.when(_met(n), F.lit(i)) for i, n in enumerate(node.children)))
+        found = df.where(any_).groupBy(*by).agg(F.min_by(event, at).alias("_event"), F.min_by(which, at).alias("_which"))
+        return found.select(*by, F.col("_event._ts").alias("_at"), *(F.when(F.col("_which") == i, F.col("_event")).alias(n.tag) for i, n in enumerate(node.children)))
+    if isinstance(node, EveryDistinct) and _plain(node.child) and isinstance(node.key, Column) and node.us is None:
+        found = df.where(_met(node.child)).groupBy(*by, node.key.alias("_key")).agg(F.min_by(event, at).alias(node.child.tag))
+        return found.withColumn("_at", F.col(f"{node.child.tag}._ts")).drop("_key")
+    if isinstance(node, Until) and node.end is not None and _plain(node.child, node.end) and node.high is None:
+        a, b = node.child, node.end
+        stop = F.min(F.when(_met(b), at)).over(Window.partitionBy(*by))
+        upto = df.withColumn("_stop", stop).where(at <= F.col("_stop"))
+        caught = F.transform(F.array_sort(F.collect_list(F.when(_met(a), F.struct(at.alias("k"), event.alias("e"))))), lambda x: x["e"])
+        found = upto.groupBy(*by).agg(caught.alias(a.tag), F.max_by(event, at).alias(b.tag)).where(F.size(a.tag) >= node.low)
+        return found.withColumn("_at", F.col(f"{b.tag}._ts"))
+    if isinstance(node, Sequence_) and len(node.children) == 2 and node.at_most is None and isinstance(node.children[0], Every):
+        a, b = node.children[0].child, node.children[1]
+        us = None
+        if isinstance(b, Within) and b.at_most is None:
+            b, us = b.child, b.us
+        if _plain(a, b):
+            found = every_followed_by(df, _met(a), _met(b), by, [c for c in df.columns if c not in ("_ts", "_seq", *by)], us)
+            return found.select(*by, F.col("b._ts").alias("_at"), F.col("a").alias(a.tag), F.col("b").alias(b.tag))
+    return None
+
+
 def every_followed_by(df: DataFrame, a: Column, b: Column, by: Sequence[str], columns: Sequence[str], within: int | None = None) -> DataFrame:
     """every A -> B: each A with the first B after it, within d if given. One window over each key, no join."""
     w = Window.partitionBy(*by).orderBy("_ts", "_seq").rowsBetween(1, Window.unboundedFollowing)

@@ -67,6 +67,14 @@ class Policy:
         """The frame of what is retained just after an event, where that is contiguous."""
         return None
 
+    def span(self) -> int | None:
+        """Microseconds that no event outlives, if there is such a bound: joins cut time into buckets of it."""
+        return None
+
+    def retained(self, df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+        """What is retained at the end of the events."""
+        return snapshot(self.lifetimes(df, by)).drop("_in", "_out")
+
 
 @dataclass(frozen=True)
 class KeepAll(Policy):
@@ -103,6 +111,9 @@ class Time(Policy):
         w = Window.partitionBy(*by) if by else Window
         return w.orderBy("_ts").rangeBetween(-(self.us - 1), 0)
 
+    def span(self):
+        return self.us
+
 
 @dataclass(frozen=True)
 class TimeCalendar(Policy):
@@ -142,8 +153,10 @@ class LengthBatch(Policy):
         numbered = df.withColumn("_batch", F.floor((F.row_number().over(ordered(by)) - 1) / self.n))
         last = F.max(now()).over(Window.partitionBy(*by, "_batch"))
         size = F.count("*").over(Window.partitionBy(*by, "_batch"))
-        out = F.lead("_in", self.n).over(ordered(by))
-        return numbered.withColumn("_in", last).withColumn("_size", size).withColumn("_out", out).where(F.col("_size") == self.n).drop("_size").transform(lambda d: d.withColumn("_out", F.when(F.col("_out") > F.col("_in"), F.col("_out"))))
+        numbered = numbered.withColumn("_in", last).withColumn("_size", size)
+        w = ordered(by)
+        out = F.when(F.lead("_size", self.n).over(w) == self.n, F.lead("_in", self.n).over(w))  # an unfinished batch replaces none
+        return numbered.withColumn("_out", out).where(F.col("_size") == self.n).drop("_size")
 
 
 @dataclass(frozen=True)
@@ -322,6 +335,9 @@ class Group(Policy):
     def frame(self, by=()):
         return self.inner.frame([*by, *self.keys])
 
+    def span(self):
+        return self.inner.span()
+
 
 class _Composite(Policy):
     def __init__(self, *children: Policy):
@@ -337,6 +353,10 @@ class _Composite(Policy):
 class UnionOf(_Composite):
     """Retained while any child retains it."""
 
+    def span(self):
+        spans = [c.span() for c in self.children]
+        return None if None in spans else max(spans)
+
     def combine(self, outs):
         kept = outs[0].isNull()
         for o in outs[1:]:
@@ -347,6 +367,9 @@ class UnionOf(_Composite):
 class IntersectOf(_Composite):
     """Retained while all children do."""
 
+    def span(self):
+        return min((x for c in self.children if (x := c.span()) is not None), default=None)
+
     def combine(self, outs):
         return F.least(*outs)
 
@@ -393,6 +416,12 @@ class Sort(Fold):
     n: int
     keys: tuple[str, ...]
 
+    def retained(self, df, by=()):
+        """The first n of all events: what is evicted once is worse than n others for good. Spark takes partial ones first."""
+        order = [F.desc(k[1:]) if k.startswith("-") else F.asc(k) for k in self.keys]
+        w = Window.partitionBy(*by).orderBy(*order, F.desc("_ts"), F.desc("_seq"))
+        return df.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= self.n).drop("_place")
+
     def lives(self, events):
         ts, seq, keys = events["_ts"].tolist(), events["_seq"].tolist(), _keys(events, self.keys)
         out: list[list] = [[t, s, None, None] for t, s in zip(ts, seq, strict=True)]
@@ -534,12 +563,49 @@ class WindowState:
     newest: Any
 
 
+@dataclass(frozen=True)
+class CountBelow:
+    """A predicate of expression windows that is a length: fewer than n events are held."""
+
+    n: int
+
+    def __call__(self, s: WindowState) -> bool:
+        return s.current_count < self.n
+
+
+@dataclass(frozen=True)
+class CountFrom:
+    """A predicate of expression batches that is a length: n events or more are held."""
+
+    n: int
+
+    def __call__(self, s: WindowState) -> bool:
+        return s.current_count >= self.n
+
+
+@dataclass(frozen=True)
+class AgeBelow:
+    """A predicate of expression windows that is a time: the newest event is less than d after the oldest."""
+
+    us: int
+
+    def __call__(self, s: WindowState) -> bool:
+        return s.newest_timestamp - s.oldest_timestamp < self.us
+
+
 @dataclass(frozen=True)
 class Expression(Fold):
-    """Let the oldest event go as long as the predicate is false."""
+    """Let the oldest event go as long as the predicate is false. CountBelow and AgeBelow run as plans."""
 
     keep: Callable[[WindowState], bool]
 
+    def lifetimes(self, df, by=()):
+        if isinstance(self.keep, CountBelow) and self.keep.n > 1:
+            return Length(self.keep.n - 1).lifetimes(df, by)
+        if isinstance(self.keep, AgeBelow) and self.keep.us > 0:
+            return ExternallyTimed("_ts", self.keep.us).lifetimes(df, by)
+        return super().lifetimes(df, by)
+
     def lives(self, events):
         rows = events.to_dict("records")
         out: list[list] = [[r["_ts"], r["_seq"], None, None] for r in rows]
@@ -554,11 +620,16 @@ class Expression(Fold):
 
 @dataclass(frozen=True)
 class ExpressionBatch(Fold):
-    """Flush the batch when the predicate is true, with or without the event that made it so."""
+    """Flush the batch when the predicate is true, with or without the event that made it so. CountFrom runs as a plan."""
 
     flush: Callable[[WindowState], bool]
     include_trigger: bool = True
 
+    def lifetimes(self, df, by=()):
+        if isinstance(self.flush, CountFrom) and self.include_trigger and self.flush.n > 0:
+            return LengthBatch(self.flush.n).lifetimes(df, by).drop("_batch")
+        return super().lifetimes(df, by)
+
     def lives(self, events):
         rows = events.to_dict("records")
         out: list[list] = [[None, None, None, None] for _ in rows]

@@ -1,6 +1,7 @@
 """Row-pattern recognition: a regular expression over the rows of a key, in order.
 
-The expression becomes a matcher that tries rows in order of preference (greedy before reluctant, alternatives in
+Two forms run as window plans where definitions are columns (`plan`): variables in a row, and a variable followed by
+rows of another. In all others the expression becomes a matcher that tries rows in order of preference (greedy before reluctant, alternatives in
 order) and keeps its choices on a stack of its own, so long runs need no recursion. Definitions see the row, what
 each variable has caught so far, and earlier rows of the key.
 """
@@ -13,9 +14,11 @@ from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eddyline.operators.retain import ordered
+
 Row = dict[str, Any]
 Tags = dict[str, list[Row]]
 
@@ -234,44 +237,147 @@ def recognise(rows: Sequence[Row], term: Term, define: dict[str, Callable], all_
     return out
 
 
-def match_recognize(df: DataFrame, term: Term, by: Sequence[str], define: dict[str, Callable], measures: dict[str, tuple[str, Callable[[Tags], Any]]], **options) -> DataFrame:
-    """Row-pattern matches of each key: its columns and the measures (name: (type, function of the caught rows))."""
+def match_recognize(df: DataFrame, term: Term, by: Sequence[str], define: dict[str, Callable | Column], measures: dict[str, tuple[str, Callable[[Tags], Any]]], **options) -> DataFrame:
+    """Row-pattern matches of each key: its columns, `_at` and the measures (name: (type, function of the caught rows)).
+
+    define: a variable's condition, as a function of (row, caught so far, prev) or as a column, which may look at
+    earlier rows of the key with `prev`.
+    """
+    made = plan(df, term, by, define, measures, **options)
+    if made is not None:
+        return made
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([*(f"{b} {kinds[b]}" for b in by), "_at long", *(f"{n} {k}" for n, (k, _) in measures.items())])
+    flags = {v: f"_is{i}" for i, (v, c) in enumerate(define.items()) if isinstance(c, Column | Shifted)}
+    df = df.withColumns({n: F.coalesce(over(define[v], by), F.lit(False)) for v, n in flags.items()}) if flags else df
+    tests = {v: (lambda row, tags, before, n=flags[v]: bool(row[n])) if v in flags else c for v, c in define.items()}
 
     def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(["_ts", "_seq"]).to_dict("records")
-        made = [(*key[: len(by)], at, *(f(tags) for _, f in measures.values())) for at, tags in recognise(rows, term, define, **options)]
+        made = [(*key[: len(by)], at, *(f(tags) for _, f in measures.values())) for at, tags in recognise(rows, term, tests, **options)]
         return pd.DataFrame(made, columns=[*by, "_at", *measures])
 
     return df.groupBy(*(list(by) or [F.lit("all")])).applyInPandas(fold, schema)
 
 
+@dataclass(frozen=True)
+class Shifted:
+    """A condition that compares a row with earlier ones of its key: a function of prev(column, n)."""
+
+    make: Callable[[Callable[..., Column]], Column]
+
+
+def over(condition: Column | Shifted, by: Sequence[str]) -> Column:
+    return condition.make(lambda column, n=1: F.lag(column, n).over(ordered(by))) if isinstance(condition, Shifted) else condition
+
+
+def plan(df: DataFrame, term: Term, by: Sequence[str], define: dict[str, Any], measures: dict[str, tuple[str, Any]], skip: str = "past_last_row", **options) -> DataFrame | None:
+    """The matches as a window plan, or None. Conditions must be columns, measures those of this module.
+
+    Forms: variables in a row, skipping to the next row; A B{low,} with A free, skipping past the last row: a run of
+    rows that meet B, with the row before it.
+    """
+    if options or not all(isinstance(c, Column | Shifted) for c in define.values()) or not all(isinstance(f, Measure) for _, f in measures.values()):
+        return None
+    if not isinstance(term, Seq):
+        return None
+    meets = {v: F.coalesce(over(c, by), F.lit(False)) for v, c in define.items()}
+    if skip == "to_next_row" and all(isinstance(p, Var) for p in term.parts) and len({p.name for p in term.parts}) == len(term.parts):
+        flags = df.withColumns({f"_is_{v}": c for v, c in meets.items()})
+        w = ordered(by)
+        n = len(term.parts)
+        ok = F.lead(F.lit(True), n - 1, False).over(w)
+        for k, p in enumerate(term.parts):
+            if p.name in meets:
+                ok &= F.coalesce(F.lead(f"_is_{p.name}", k).over(w), F.lit(False))
+        places = {p.name: k for k, p in enumerate(term.parts)}
+        values = {}
+        for name, (kind, m) in measures.items():
+            if m.kind == "size":
+                values[name] = F.lit(n).cast(kind)
+            elif m.kind == "count":
+                values[name] = F.lit(int(m.tag in places)).cast(kind)
+            elif m.tag not in places:
+                values[name] = F.lit(None).cast(kind)
+            else:
+                values[name] = F.lead(m.column, places[m.tag]).over(w).cast(kind)
+        found = flags.select(*by, F.lead("_ts", n - 1).over(w).alias("_at"), ok.alias("_ok"), *(c.alias(x) for x, c in values.items()))
+        return found.where("_ok").drop("_ok")
+    if skip == "past_last_row" and len(term.parts) == 2 and isinstance(term.parts[0], Var) and isinstance(term.parts[1], Repeat):
+        a, many = term.parts
+        b = many.part
+        if not (isinstance(b, Var) and many.high is None and many.greedy and many.low > 0 and a.name not in define and b.name in meets and a.name != b.name):
+            return None
+        w = ordered(by)
+        runs = df.withColumn("_is", meets[b.name]).withColumn("_run", F.sum(F.when(F.col("_is"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        # rows that meet B before any that does not: the first of them is A
+        start = F.row_number().over(Window.partitionBy(*by, "_run").orderBy("_ts", "_seq")) == 1
+        runs = runs.withColumn("_a", start)
+        at = F.struct("_ts", "_seq")
+        pick = {"first": F.min_by, "last": F.max_by, "total": lambda x, _: F.sum(x), "least": lambda x, _: F.min(x), "greatest": lambda x, _: F.max(x)}
+        values = []
+        for name, (kind, m) in measures.items():
+            mine = {a.name: F.col("_a"), b.name: ~F.col("_a")}.get(m.tag, F.lit(False))
+            if m.kind in ("size", "count"):
+                c = F.count("*") if m.kind == "size" else F.count(F.when(mine, 1))
+            else:
+                c = pick[m.kind](F.when(mine, F.col(m.column)) if m.kind not in ("first", "last") else F.col(m.column), F.when(mine, at))
+            values.append(c.cast(kind).alias(name))
+        found = runs.groupBy(*by, "_run").agg(F.count("*").alias("_rows"), F.max("_ts").alias("_at"), *values)
+        return found.where(F.col("_rows") > many.low).drop("_run", "_rows")
+    return None
+
+
 # Measures over caught rows.
 
 
-def first(tag: str, column: str) -> Callable[[Tags], Any]:
-    return lambda t: t[tag][0][column] if t.get(tag) else None
+@dataclass(frozen=True)
+class Measure:
+    """A function of the caught rows that a plan can state as well."""
+
+    kind: str
+    tag: str | None = None
+    column: str | None = None
+
+    def __call__(self, tags: Tags) -> Any:
+        if self.kind == "size":
+            return sum(map(len, tags.values()))
+        rows = tags.get(self.tag, [])
+        if self.kind == "count":
+            return len(rows)
+        values = [r[self.column] for r in rows]
+        if not values:
+            return None
+        return {"first": lambda v: v[0], "last": lambda v: v[-1], "total": sum, "least": min, "greatest": max}[self.kind](values)
+
+
+def first(tag: str, column: str) -> Measure:
+    return Measure("first", tag, column)
+
+
+def last(tag: str, column: str) -> Measure:
+    return Measure("last", tag, column)
 
 
-def last(tag: str, column: str) -> Callable[[Tags], Any]:
-    return lambda t: t[tag][-1][column] if t.get(tag) else None
+def count(tag: str) -> Measure:
+    return Measure("count", tag)
 
 
-def count(tag: str) -> Callable[[Tags], int]:
-    return lambda t: len(t.get(tag, ()))
+def size() -> Measure:
+    """All rows of the match."""
+    return Measure("size")
 
 
-def total(tag: str, column: str) -> Callable[[Tags], Any]:
-    return lambda t: sum(r[column] for r in t[tag]) if t.get(tag) else None
+def total(tag: str, column: str) -> Measure:
+    return Measure("total", tag, column)
 
 
-def least(tag: str, column: str) -> Callable[[Tags], Any]:
-    return lambda t: min((r[column] for r in t.get(tag, ())), default=None)
+def least(tag: str, column: str) -> Measure:
+    return Measure("least", tag, column)
 
 
-def greatest(tag: str, column: str) -> Callable[[Tags], Any]:
-    return lambda t: max((r[column] for r in t.get(tag, ())), default=None)
+def greatest(tag: str, column: str) -> Measure:
+    return Measure("greatest", tag, column)
 
 
 def any_of(tag: str, condition: Callable[[Row], bool]) -> Callable[[Tags], bool]:

@@ -50,8 +50,18 @@ def reset_epochs(df: DataFrame, reset: Column, by: Sequence[str] = ()) -> DataFr
 
 
 def on_select(triggers: DataFrame, state: DataFrame, policy: Policy, on: Sequence[tuple[str, str]] = (), where: Column | None = None) -> DataFrame:
-    """For each trigger (alias t) the rows a named window (alias w) retains just then."""
-    t, w = triggers.alias("t"), policy.lifetimes(state).alias("w")
+    """For each trigger (alias t) the rows a named window (alias w) retains just then.
+
+    Where the window has a span, time is cut into buckets of it that join the key; a row is in the bucket of its
+    arrival and the next one.
+    """
+    held_rows = policy.lifetimes(state)
+    if (span := policy.span()) is not None:
+        triggers = triggers.withColumn("_bucket", F.floor(F.col("_ts") / span))
+        b = F.floor(F.col("_in.ts") / span)
+        held_rows = held_rows.withColumn("_bucket", F.explode(F.array(b, b + 1)))
+        on = [*on, ("_bucket", "_bucket")]
+    t, w = triggers.alias("t"), held_rows.alias("w")
     at = F.struct(F.col("t._ts").alias("ts"), F.col("t._seq").alias("seq"))
     held = (F.col("w._in") < at) & (F.col("w._out").isNull() | (F.col("w._out") > at))
     condition = reduce(lambda a, b: a & b, [*(F.col(f"t.{a}") == F.col(f"w.{b}") for a, b in on), held, *([where] if where is not None else [])])
@@ -59,14 +69,29 @@ def on_select(triggers: DataFrame, state: DataFrame, policy: Policy, on: Sequenc
 
 
 def on_delete(live: DataFrame, triggers: DataFrame, on: Sequence[tuple[str, str]]) -> DataFrame:
-    """Lifetimes cut short by the first later delete trigger of the key; an anti-join would forget the time."""
-    deletes = triggers.select(*(F.col(a).alias(f"_k{i}") for i, (a, _) in enumerate(on)), F.struct(F.col("_ts").alias("ts"), F.col("_seq").alias("seq")).alias("_del"))
-    rows = live.withColumn("_row", F.monotonically_increasing_id())
-    hit = rows.join(deletes, [rows[b] == deletes[f"_k{i}"] for i, (_, b) in enumerate(on)]).where((F.col("_del") > F.col("_in")) & (F.col("_out").isNull() | (F.col("_del") < F.col("_out"))))
-    first = hit.groupBy(*(rows[b] for _, b in on), F.col("_in").alias("_i")).agg(F.min("_del").alias("_del"))
-    keyed = first.withColumnsRenamed({b: f"_k{i}" for i, (_, b) in enumerate(on)})
-    out = live.join(keyed, [*(live[b] == keyed[f"_k{i}"] for i, (_, b) in enumerate(on)), live["_in"] == keyed["_i"]], "left")
-    return out.withColumn("_out", F.least("_out", "_del")).drop("_del", "_i", *(f"_k{i}" for i in range(len(on))))
+    """Lifetimes cut short by the first later delete trigger of the key; an anti-join would forget the time.
+
+    One window over rows and triggers of a key in order, no join. Rows with a null in their key are never deleted.
+    """
+    keys = [f"_k{i}" for i in range(len(on))]
+    rows = live.select("*", *(F.col(b).alias(k) for k, (_, b) in zip(keys, on, strict=True)), F.col("_in").alias("_at"), F.lit(1).alias("_row"))
+    cuts = triggers.select(*(F.col(a).alias(k) for k, (a, _) in zip(keys, on, strict=True)), F.struct(F.col("_ts").alias("ts"), F.col("_seq").alias("seq")).alias("_at"), F.lit(0).alias("_row"))
+    both = rows.unionByName(cuts, allowMissingColumns=True)
+    later = Window.partitionBy(*keys).orderBy("_at", "_row").rowsBetween(1, Window.unboundedFollowing)
+    del_ = F.first(F.when(F.col("_row") == 0, F.col("_at")), ignorenulls=True).over(later)
+    whole = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+    out = both.withColumn("_del", del_).where("_row = 1")
+    return out.withColumn("_out", F.least("_out", F.when(whole, F.col("_del")))).select(live.columns)
+
+
+def since_last(df: DataFrame, keys: Sequence[str], reset: Column, **aggregates: Column) -> DataFrame:
+    """A table of aggregates that a reset event deletes: those of each key's events after its last reset, if there are any.
+
+    The set form of a merge whose branches insert or add to a row and delete it.
+    """
+    last = F.max(F.when(reset, F.struct("_ts", "_seq"))).over(Window.partitionBy(*keys))
+    after = df.withColumn("_last", last).where(F.col("_last").isNull() | (F.struct("_ts", "_seq") > F.col("_last")))
+    return after.groupBy(*keys).agg(*(a.alias(n) for n, a in aggregates.items()))
 
 
 # ---- merge -------------------------------------------------------------------------------------------------

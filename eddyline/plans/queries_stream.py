@@ -173,6 +173,10 @@ def _is(kind: str):
     return lambda e, m: e["event_type"] == kind
 
 
+def _of(kind: str):
+    return F.col("event_type") == kind
+
+
 def _picked(**tags: str) -> dict:
     return {n: ("long", lambda m, tag=tag: m[tag]["event_id"] if tag in m else None) for n, tag in tags.items()}
 
@@ -200,14 +204,14 @@ def pattern_absence(t: Tables) -> DataFrame:
 )
 def pattern_and(t: Tables) -> DataFrame:
     """click and error in either order, once."""
-    node = P.atom("a", _is("click")).and_(P.atom("b", _is("error")))
-    return P.match(t.log.select("_ts", "_seq", "user_id", "event_id", "event_type"), node, USER, _picked(a_id="a", b_id="b")).drop("_at")
+    node = P.atom("a", _of("click")).and_(P.atom("b", _of("error")))
+    return P.match(t.log.select("_ts", "_seq", "user_id", "event_id", "event_type"), node, USER, {"a_id": F.col("a.event_id"), "b_id": F.col("b.event_id")}).drop("_at")
 
 
 @query("select user_id, min(event_id) as event_id from events where event_type in ('purchase', 'error') group by user_id")
 def pattern_or(t: Tables) -> DataFrame:
-    node = P.atom("a", _is("purchase")).or_(P.atom("b", _is("error")))
-    pick = {"event_id": ("long", lambda m: (m.get("a") or m["b"])["event_id"])}
+    node = P.atom("a", _of("purchase")).or_(P.atom("b", _of("error")))
+    pick = {"event_id": F.coalesce("a.event_id", "b.event_id")}
     return P.match(t.log.select("_ts", "_seq", "user_id", "event_id", "event_type"), node, USER, pick).drop("_at")
 
 
@@ -218,8 +222,8 @@ def pattern_or(t: Tables) -> DataFrame:
 )
 def pattern_until(t: Tables) -> DataFrame:
     """Two or more clicks until the first purchase."""
-    node = P.atom("a", _is("click")).until(P.atom("b", _is("purchase")), low=2)
-    pick = {"end_id": ("long", lambda m: m["b"]["event_id"]), "n": ("long", lambda m: len(m["a"]))}
+    node = P.atom("a", _of("click")).until(P.atom("b", _of("purchase")), low=2)
+    pick = {"end_id": F.col("b.event_id"), "n": F.size("a").cast("long")}
     return P.match(t.log.select("_ts", "_seq", "user_id", "event_id", "event_type"), node, USER, pick).drop("_at")
 
 
@@ -227,8 +231,8 @@ def pattern_until(t: Tables) -> DataFrame:
     """select user_id, event_type, min(event_id) as event_id from events group by 1, 2"""
 )
 def pattern_every_distinct(t: Tables) -> DataFrame:
-    node = P.atom("a").every_distinct(lambda m: m["a"]["event_type"])
-    pick = {"event_type": ("string", lambda m: m["a"]["event_type"]), "event_id": ("long", lambda m: m["a"]["event_id"])}
+    node = P.atom("a", F.lit(True)).every_distinct(F.col("event_type"))
+    pick = {"event_type": F.col("a.event_type"), "event_id": F.col("a.event_id")}
     return P.match(t.log.select("_ts", "_seq", "user_id", "event_id", "event_type"), node, USER, pick).drop("_at")
 
 
@@ -236,7 +240,7 @@ def pattern_every_distinct(t: Tables) -> DataFrame:
 def rowpattern_rise(t: Tables) -> DataFrame:
     """A B with B above A, from every row."""
     term = M.sequence(M.var("A"), M.var("B"))
-    define = {"B": lambda row, tags, prev: row["value"] > tags["A"][0]["value"]}
+    define = {"B": M.Shifted(lambda prev: F.col("value") > prev("value"))}
     measures = {"a_id": ("long", M.first("A", "event_id")), "b_id": ("long", M.first("B", "event_id"))}
     return M.match_recognize(t.log.select("_ts", "_seq", "user_id", "event_id", "value"), term, USER, define, measures, skip="to_next_row").drop("_at")
 
@@ -249,8 +253,8 @@ def rowpattern_rise(t: Tables) -> DataFrame:
 def rowpattern_runs(t: Tables) -> DataFrame:
     """Maximal rising runs of three rows or more: A B{2,}."""
     term = M.sequence(M.var("A"), M.var("B").repeat(2))
-    define = {"B": lambda row, tags, prev: row["value"] > prev(1, "value")}
-    measures = {"first_id": ("long", M.first("A", "event_id")), "last_id": ("long", M.last("B", "event_id")), "n": ("long", lambda g: 1 + len(g["B"]))}
+    define = {"B": M.Shifted(lambda prev: F.col("value") > prev("value"))}
+    measures = {"first_id": ("long", M.first("A", "event_id")), "last_id": ("long", M.last("B", "event_id")), "n": ("long", M.size())}
     return M.match_recognize(t.log.select("_ts", "_seq", "user_id", "event_id", "value"), term, USER, define, measures).drop("_at")
 
 
@@ -346,13 +350,23 @@ def table_delete(t: Tables) -> DataFrame:
     return S.table_from_changes(log, USER).select("user_id", "event_id")
 
 
-@query(
-    """with x as (select *, sum(case when event_type = 'error' then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) as epoch from events)
+_MERGED = """with x as (select *, sum(case when event_type = 'error' then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) as epoch from events)
     select user_id, count(*) filter (where event_type <> 'error') as n, cast(max(epoch) as bigint) as resets from x
     where epoch = (select max(epoch) from x y where y.user_id = x.user_id) group by user_id having count(*) filter (where event_type <> 'error') > 0"""
-)
+
+
+@query(_MERGED)
 def table_merge(t: Tables) -> DataFrame:
     """A counter for each user: errors delete the row (and count), others insert or add one."""
+    log = t.log.select("_ts", "_seq", "user_id", "event_type")
+    state = S.since_last(log, USER, _of("error"), n=F.count("*"))
+    resets = log.where("event_type = 'error'").groupBy("user_id").agg(F.count("*").alias("resets"))
+    return state.join(resets, "user_id", "left").select("user_id", "n", F.coalesce("resets", F.lit(0)).alias("resets"))
+
+
+@query(_MERGED)
+def table_merge_states(t: Tables) -> DataFrame:
+    """The same by the state machine of a merge's branches."""
     actions = [
         S.when_matched_delete(lambda e, row: e["event_type"] == "error"),
         S.when_matched_update(lambda e, row: {"n": row["n"] + 1}),

@@ -138,7 +138,7 @@ def window_first_time(t: Tables) -> DataFrame:
 
 @query("select event_type, event_id, value from (select *, row_number() over (partition by event_type order by value desc, ts desc) as k from events) where k <= 4")
 def window_sort(t: Tables) -> DataFrame:
-    return R.snapshot(R.Sort(4, ("-value",)).lifetimes(t.log, ["event_type"])).select("event_type", "event_id", "value")
+    return R.Sort(4, ("-value",)).retained(t.log, ["event_type"]).select("event_type", "event_id", "value")
 
 
 @query(
@@ -160,7 +160,7 @@ def window_rank(t: Tables) -> DataFrame:
     """select event_id, lead_id as evicted_by from (select event_id, lead(event_id, 5) over (partition by user_id order by ts, event_id) as lead_id from events)"""
 )
 def window_expression(t: Tables) -> DataFrame:
-    live = R.Expression(lambda s: s.current_count <= 5).lifetimes(t.log, USER)
+    live = R.Expression(R.CountBelow(6)).lifetimes(t.log, USER)
     return live.select("event_id", F.col("_out.seq").alias("evicted_by"))
 
 
@@ -169,7 +169,7 @@ def window_expression(t: Tables) -> DataFrame:
     select user_id, max(event_id) as flushed_by, count(*) as n from n group by user_id, b having count(*) = 4"""
 )
 def window_expression_batch(t: Tables) -> DataFrame:
-    live = R.ExpressionBatch(lambda s: s.current_count >= 4).lifetimes(t.log, USER)
+    live = R.ExpressionBatch(R.CountFrom(4)).lifetimes(t.log, USER)
     return live.groupBy("user_id", F.col("_in.seq").alias("flushed_by")).agg(F.count("*").alias("n"))
 
 
@@ -511,7 +511,7 @@ def output_distinct(t: Tables) -> DataFrame:
     select user_id, cast(b as bigint) as batch, event_id from (select *, count(*) over (partition by user_id, b) as size from n) where size = 3"""
 )
 def output_when(t: Tables) -> DataFrame:
-    out = O.when(t.log, lambda c: c.count_insert >= 3, USER)
+    out = O.when(t.log, O.InsertsFrom(3), USER)
     return out.select("user_id", F.col("_batch").alias("batch"), "event_id")
 
 
