@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
@@ -73,3 +74,47 @@ class Aggregates:
     def call(self, name: str, *arguments: Column) -> Column:
         """The aggregate; use it in `agg` or over a bounded frame."""
         return self._made[name](*arguments)
+
+
+class MultiAggregates:
+    """Aggregate providers with one state and several accessors: the state of a group is made once."""
+
+    def __init__(self):
+        self._made: dict[str, tuple[Callable, str]] = {}
+
+    def register(self, provider: str, state: Callable[..., object], accessors: dict[str, tuple[str, Callable[[object], object]]]) -> None:
+        """state: a function of the group's values (pandas series); accessors: name -> (type, function of the state)."""
+        if provider in self._made:
+            raise ValueError(f"aggregate provider {provider} exists")
+
+        def run(*series: pd.Series) -> str:
+            held = state(*series)
+            return json.dumps({n: f(held) for n, (_, f) in accessors.items()}, default=lambda x: x.item() if hasattr(x, "item") else str(x))
+
+        made = F.pandas_udf(_arity(run, state), "string")
+        self._made[provider] = (made, ", ".join(f"{n} {kind}" for n, (kind, _) in accessors.items()))
+
+    def call(self, provider: str, *arguments: Column) -> Column:
+        """All accessors of a group as a struct; use it in `agg` and take its fields."""
+        if provider not in self._made:
+            raise KeyError(f"no aggregate provider {provider}")
+        call, schema = self._made[provider]
+        return F.from_json(call(*arguments), schema)
+
+
+def _arity(run: Callable[..., str], like: Callable) -> Callable[..., str]:
+    """`run` with as many annotated arguments as `like` has: Spark takes a grouped function's kind from them."""
+    n = like.__code__.co_argcount
+    if n == 1:
+
+        def one(a: pd.Series) -> str:
+            return run(a)
+
+        return one
+    if n == 2:
+
+        def two(a: pd.Series, b: pd.Series) -> str:
+            return run(a, b)
+
+        return two
+    raise TypeError("a provider's state is made from one or two columns")

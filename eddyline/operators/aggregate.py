@@ -5,8 +5,11 @@ Spark refuses DISTINCT and `median` over ordered frames; those are rewritten ove
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -196,3 +199,55 @@ def local_group(aggregate: Column, *keys: str | Column) -> Column:
 
 def count_min_sketch(x: str | Column, eps: float = 0.001, confidence: float = 0.99, seed: int = 1) -> Column:
     return F.count_min_sketch(_c(x), F.lit(eps), F.lit(confidence), F.lit(seed))
+
+
+def _murmur3(data: bytes, seed: int) -> int:
+    """MurmurHash3 of 32 bits as Spark's sketches take it: trailing bytes are blocks of their own, signed."""
+    m = 0xFFFFFFFF
+    rot = lambda x, r: (x << r | x >> 32 - r) & m
+    h = seed & m
+    n = len(data) // 4 * 4
+    for k in [*struct.unpack(f"<{n // 4}I", data[:n]), *(b - 256 & m if b > 127 else b for b in data[n:])]:
+        k = rot(k * 0xCC9E2D51 & m, 15) * 0x1B873593 & m
+        h = (rot(h ^ k, 13) * 5 + 0xE6546B64) & m
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & m
+    h = (h ^ h >> 13) * 0xC2B2AE35 & m
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def _wrapped(x: int, bits: int) -> int:
+    x &= (1 << bits) - 1
+    return x - (1 << bits) if x >> bits - 1 else x
+
+
+def sketch_frequency(data: bytes, item: int | str | None) -> int | None:
+    """How often a sketch has counted an item: never too low, too high by at most eps of all with its confidence."""
+    if data is None or item is None:
+        return None
+    _, _, depth, width = struct.unpack_from(">iqii", data)
+    factors = struct.unpack_from(f">{depth}q", data, 20)
+    table = np.frombuffer(data, ">i8", depth * width, 20 + 8 * depth).reshape(depth, width)
+    if isinstance(item, str):
+        raw = item.encode()
+        one = _murmur3(raw, 0)
+        two = _murmur3(raw, one)
+        places = [abs(int(np.fmod(_wrapped(one + i * two, 32), width))) for i in range(depth)]
+    else:
+        places = []
+        for a in factors:
+            h = _wrapped(a * int(item), 64)
+            h = _wrapped(h + (h >> 32), 64)
+            places.append((h & 0x7FFFFFFF) % width)
+    return int(min(table[i, p] for i, p in enumerate(places)))
+
+
+def count_min_frequency(sketch: Column, item: Column) -> Column:
+    """The frequency of an item (text or a whole number) in a sketch made by `count_min_sketch`."""
+
+    @F.pandas_udf("long")
+    def run(sketches: pd.Series, items: pd.Series) -> pd.Series:
+        return pd.Series([sketch_frequency(s, None if i is None or i != i else i) for s, i in zip(sketches, items, strict=True)], dtype=object)
+
+    return run(sketch, item)

@@ -13,6 +13,8 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +99,47 @@ def at_termination(df: DataFrame, partition: Sequence[str]) -> DataFrame:
     return last_of_batch(df.withColumn("_batch", F.lit(0)), partition)
 
 
+def terminated(df: DataFrame, partition: Sequence[str], take: str = "last", condition: Column | None = None, group: Sequence[str] = ()) -> DataFrame:
+    """What is delivered when a context partition ends: all rows of it, the first, the last, or the last of each group.
+
+    condition: partitions whose last row does not meet it deliver nothing.
+    """
+    batches = df.withColumn("_batch", F.lit(0))
+    if condition is not None:
+        last = F.max_by(F.coalesce(condition, F.lit(False)), F.struct("_ts", "_seq")).over(Window.partitionBy(*partition))
+        batches = batches.withColumn("_ok", last).where("_ok").drop("_ok")
+    if take == "first":
+        return first_of_batch(batches, partition, group)
+    if take in ("last", "snapshot"):
+        return last_of_batch(batches, partition, group)
+    if take != "all":
+        raise ValueError(f"no way to take {take}")
+    return batches
+
+
+def and_when_terminated(batches: DataFrame, df: DataFrame, partition: Sequence[str]) -> DataFrame:
+    """The rows that a policy delivers, and at a partition's end those it has not delivered yet, as one more batch."""
+    end = df.join(batches.select("_seq").distinct(), "_seq", "left_anti")
+    last = batches.groupBy(*partition).agg((F.max("_batch") + 1).alias("_end"))
+    rest = end.join(last, list(partition), "left").withColumn("_batch", F.coalesce("_end", F.lit(0).cast("long"))).drop("_end")
+    return batches.unionByName(rest.select(batches.columns))
+
+
+def at_instants(df: DataFrame, instants: Sequence[int]) -> DataFrame:
+    """Each row with `tick`, the first of the instants at or after it, at which it is delivered; rows after all are not.
+
+    instants: a bounded calendar in order (microseconds), such as a schedule's within the events' time.
+    """
+    due = np.asarray(sorted(instants), np.int64)
+
+    @F.pandas_udf("long")
+    def next_of(ts: pd.Series) -> pd.Series:
+        at = np.searchsorted(due, ts.to_numpy(np.int64))
+        return pd.Series(np.append(due, 0)[at]).astype("Int64").mask(at == len(due))
+
+    return df.where("_ts is not null").withColumn("tick", next_of("_ts")).where("tick is not null")
+
+
 def iso_instants(text: str, start: dt.datetime | None = None) -> Iterator[dt.datetime]:
     """Instants of an ISO 8601 repeating interval R[n]/[date]/[period]; without a date they count from `start`.
 
@@ -179,8 +222,6 @@ class InsertsFrom:
 
 def when(df: DataFrame, condition: Callable[[Counters], bool], by: Sequence[str] = ()) -> DataFrame:
     """Flush when a condition over counters becomes true: a fold over each key's rows in order, InsertsFrom as a plan."""
-    import pandas as pd
-
     if isinstance(condition, InsertsFrom):
         own = F.when(F.col("_op") == "-", 0).otherwise(1) if "_op" in df.columns else F.lit(1)
         upto = ordered(by).rowsBetween(Window.unboundedPreceding, 0)

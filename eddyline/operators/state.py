@@ -84,6 +84,14 @@ def on_delete(live: DataFrame, triggers: DataFrame, on: Sequence[tuple[str, str]
     return out.withColumn("_out", F.least("_out", F.when(whole, F.col("_del")))).select(live.columns)
 
 
+def on_select_delete(live: DataFrame, triggers: DataFrame, on: Sequence[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+    """Triggers that select and delete: what each takes (with `_at`, the trigger's instant), and the lifetimes left."""
+    left = on_delete(live, triggers, on)
+    cut = left.withColumnRenamed("_out", "_at").join(live.select("_in", F.col("_out").alias("_was")), "_in")
+    taken = cut.where("_at is not null and (_was is null or _at < _was)").drop("_was")
+    return taken, left
+
+
 def since_last(df: DataFrame, keys: Sequence[str], reset: Column, **aggregates: Column) -> DataFrame:
     """A table of aggregates that a reset event deletes: those of each key's events after its last reset, if there are any.
 
@@ -231,6 +239,17 @@ class Store:
     def delete(self, name: str, where: Column) -> None:
         self._put(name, self.read(name).where(~F.coalesce(where, F.lit(False))))
 
+    def select_delete(self, name: str, where: Column) -> DataFrame:
+        """The rows that meet a condition, which are deleted."""
+        hit = F.coalesce(where, F.lit(False))
+        df = self.read(name)
+        self._put(name, df.where(~hit))
+        return df.where(hit)
+
+    def prepare(self, statement: Callable[..., Any]) -> Callable[..., Any]:
+        """A statement with parameters, run with the state as it then is: `statement(store, *values)`."""
+        return lambda *values, **named: statement(self, *values, **named)
+
     def delete_all(self, name: str) -> None:
         self._put(name, self.read(name).limit(0))
 

@@ -23,6 +23,10 @@ class EventType:
     parents: tuple[str, ...] = ()
     dynamic: bool = False
     members: tuple[str, ...] = ()
+    getters: tuple[tuple[str, Any], ...] = ()
+    adapters: tuple[tuple[str, Callable[[Column], Column]], ...] = ()
+    defaults: tuple[tuple[str, Any], ...] = ()
+    ignore_case: bool = False
 
 
 class Registry:
@@ -31,7 +35,9 @@ class Registry:
     def __init__(self):
         self.types: dict[str, EventType] = {}
 
-    def register(self, name: str, schema: T.StructType | str, representation: str = "struct", parents: Sequence[str] = (), copied_from: Sequence[str] = (), dynamic: bool = False) -> EventType:
+    def register(self, name: str, schema: T.StructType | str, representation: str = "struct", parents: Sequence[str] = (), copied_from: Sequence[str] = (), dynamic: bool = False, getters: dict[str, Column | str] | None = None, adapters: dict[str, Callable[[Column], Column]] | None = None, defaults: dict[str, Any] | None = None, ignore_case: bool = False) -> EventType:
+        """getters: properties that an expression or a path makes; adapters: how a field's text becomes its value;
+        defaults: values of fields that are null; ignore_case: fields may be written in either case."""
         if name in self.types:
             raise ValueError(f"event type {name} exists")
         if representation not in REPRESENTATIONS:
@@ -43,9 +49,17 @@ class Registry:
                 if f.name in fields and fields[f.name].dataType != f.dataType:
                     raise TypeError(f"{name}.{f.name}: {fields[f.name].dataType.simpleString()} and {f.dataType.simpleString()}")
                 fields[f.name] = f
-        made = self.types[name] = EventType(name, T.StructType(list(fields.values())), representation, tuple(parents), dynamic)
+        made = self.types[name] = EventType(name, T.StructType(list(fields.values())), representation, tuple(parents), dynamic, (), tuple((getters or {}).items()), tuple((adapters or {}).items()), tuple((defaults or {}).items()), ignore_case)
         return made
 
+    def auto_name(self, df: DataFrame, name: str | None = None) -> EventType:
+        """The type of a frame's columns: one that has them already, else a new one named after them (or `name`)."""
+        schema = T.StructType([f for f in df.schema.fields if not f.name.startswith("_")])
+        for t in self.types.values():
+            if {(f.name, f.dataType.simpleString()) for f in t.schema.fields} == {(f.name, f.dataType.simpleString()) for f in schema.fields} and name in (None, t.name):
+                return t
+        return self.register(name or "auto_" + hashlib.sha256(schema.simpleString().encode()).hexdigest()[:12], schema)
+
     def register_variant(self, name: str, *members: str) -> EventType:
         """A stream of several types; without members of any type."""
         if len(set(members)) != len(members):
@@ -70,12 +84,20 @@ class Registry:
     def check(self, name: str, df: DataFrame) -> DataFrame:
         """The frame with the type's columns in order and cast; missing required columns raise."""
         t = self.get(name)
+        if t.ignore_case:
+            there = {c.lower(): c for c in df.columns}
+            df = df.withColumnsRenamed({there[f.name.lower()]: f.name for f in t.schema.fields if f.name not in df.columns and f.name.lower() in there})
+        for n, change in t.adapters:
+            df = df.withColumn(n, change(F.col(n)))
+        for n, value in t.defaults:
+            df = df.withColumn(n, F.coalesce(F.col(n), F.lit(value)) if n in df.columns else F.lit(value))
         lacking = [f.name for f in t.schema.fields if f.name not in df.columns and not f.nullable]
         if lacking:
             raise TypeError(f"{name} lacks {', '.join(lacking)}")
         own = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in t.schema.fields]
         more = [c for c in df.columns if c not in t.schema.names] if t.dynamic else [c for c in df.columns if c in ("_ts", "_seq", "_type")]
-        return df.select(*own, *more)
+        out = df.select(*own, *more)
+        return out.withColumns({n: F.expr(g) if isinstance(g, str) else g for n, g in t.getters}) if t.getters else out
 
 
 @dataclass
@@ -131,6 +153,8 @@ class Plan:
     schema: T.StructType
     text: str
     uses: tuple[str, ...] = ()
+    hints: tuple[str, ...] = ()
+    annotations: tuple[tuple[str, Any], ...] = ()
 
     @property
     def hash(self) -> str:
@@ -197,6 +221,56 @@ class Engine:
         self._statements: dict[str, Plan] = {}
         self._listeners: dict[str, list[Callable[[DataFrame], None]]] = {}
         self._deployment_listeners: list[Callable[[str, str], None]] = []
+        self.now: int | None = None
+
+    # ---- the engine's clock: a replay up to an instant
+
+    def advance_time(self, to: int) -> None:
+        """Move the clock (microseconds): from then on sources hold the events up to it. It does not go back."""
+        if self.now is not None and to < self.now:
+            raise ValueError(f"the clock stands at {self.now}, after {to}")
+        self.now = to
+
+    def advance_span(self, to: int, step: int) -> list[int]:
+        """Move the clock in steps; returns the instants, the last one included."""
+        if step <= 0:
+            raise ValueError("a step must be positive")
+        first = self.now if self.now is not None else to
+        out = [*range(first + step, to, step), to]
+        for t in out:
+            self.advance_time(t)
+        return out
+
+    def _until_now(self, df: DataFrame) -> DataFrame:
+        return df if self.now is None or "_ts" not in df.columns else df.where(F.col("_ts") <= self.now)
+
+    # ---- ingest
+
+    def publish(self, name: str, df: DataFrame) -> None:
+        """More events of a type, which is registered from the frame if it is new."""
+        if name not in self.types.types:
+            self.types.auto_name(df, name)
+        made = self.types.check(name, df)
+        self._sources[name] = self._sources[name].unionByName(made, allowMissingColumns=True) if name in self._sources else made
+
+    def send(self, name: str, *rows: dict[str, Any] | Sequence[Any], ts: int | None = None) -> None:
+        """Events as mappings or positional arrays, at `ts` or the clock's instant."""
+        t = self.types.get(name)
+        at = ts if ts is not None else self.now or 0
+        plain = [tuple(r.get(n) for n in t.schema.names) if isinstance(r, dict) else tuple(r) for r in rows]
+        if bad := [r for r in plain if len(r) != len(t.schema.names)]:
+            raise TypeError(f"{name} has {len(t.schema.names)} fields, not {len(bad[0])}")
+        seq = self._sent = getattr(self, "_sent", 0) + len(plain)
+        schema = T.StructType([*t.schema.fields, T.StructField("_ts", T.LongType()), T.StructField("_seq", T.LongType())])
+        self.publish(name, self.spark.createDataFrame([(*r, at, seq - len(plain) + i) for i, r in enumerate(plain)], schema))
+
+    def send_text(self, name: str, texts: Sequence[str], form: str = "json", ts: int | None = None) -> None:
+        """Events as JSON, XML or Avro's JSON encoding (of the type's representation schema)."""
+        t = self.types.get(name)
+        ddl = t.schema.simpleString()
+        df = self.spark.createDataFrame([(x, ts if ts is not None else self.now or 0, i) for i, x in enumerate(texts)], "_text string, _ts long, _seq long")
+        reader = {"json": lambda c: F.from_json(c, ddl), "xml": lambda c: F.from_xml(c, ddl)}[form]
+        self.publish(name, df.select(reader(F.col("_text")).alias("_e"), "_ts", "_seq").where("_e is not null").select("_e.*", "_ts", "_seq"))
 
     def bind(self, name: str, df: DataFrame) -> None:
         """Attach the events of a registered type."""
@@ -208,7 +282,7 @@ class Engine:
         wanted = [n for n in self._sources if self.types.is_a(n, name) or n in t.members]
         if not wanted:
             raise KeyError(f"no events are bound to {name}")
-        parts = [self._sources[n].withColumn("_type", F.lit(n)) for n in wanted]
+        parts = [self._until_now(self._sources[n]).withColumn("_type", F.lit(n)) for n in wanted]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p, allowMissingColumns=True)
@@ -222,10 +296,17 @@ class Engine:
     def expression(self, name: str, *arguments) -> Column:
         return self.expressions[name](*arguments)
 
-    def compile(self, name: str, build: Callable[..., DataFrame], uses: Sequence[str] = (), **parameters) -> Plan:
-        """Analyse a query: errors in names and types surface here, before any data are read."""
+    def compile(self, name: str, build: Callable[..., DataFrame], uses: Sequence[str] = (), hints: Sequence[str] = (), annotations: dict[str, Any] | None = None, **parameters) -> Plan:
+        """Analyse a query: errors in names and types surface here, before any data are read.
+
+        hints and annotations are kept with the plan; hints on indexes and sharing name nothing that Spark has.
+        """
         df = build(self, **parameters)
-        return Plan(name, build, df.schema, df._jdf.queryExecution().analyzed().canonicalized().toString(), tuple(uses))
+        return Plan(name, build, df.schema, df._jdf.queryExecution().analyzed().canonicalized().toString(), tuple(uses), tuple(dict.fromkeys(hints)), tuple((annotations or {}).items()))
+
+    def context_of(self, statement: str, partition: Column | None = None) -> Column:
+        """What an expression can know of where it runs: application, statement, context partition, instant."""
+        return F.struct(F.lit(self.spark.sparkContext.applicationId).alias("runtime"), F.lit(statement).alias("statement"), (partition if partition is not None else F.lit(None)).cast("string").alias("partition"), F.lit(self.now).cast("long").alias("time"))
 
     def deploy(self, *plans: Plan) -> None:
         """Deploy statements, all or none; what they use must be there."""
