@@ -95,12 +95,12 @@ def in_order(docs: DataFrame) -> DataFrame:
         return kept.select("text", *place(kept))
 
 
-def _stretches(batches: Iterator[pa.RecordBatch], encode) -> Iterator[tuple[str, int, bool, list[np.ndarray]]]:
-    """(file, first row, whether it begins here, ids of its documents): the input's stretches of one file, block by block."""
+def _stretches(batches: Iterator[pa.RecordBatch], take) -> Iterator[tuple[str, int, bool, list]]:
+    """(file, first row, whether it begins here, `take` of its texts): the input's stretches of one file, block by block."""
     file, first, last = None, 0, -1
     for block in blocks(batches, 0):
         texts, files, rows = (c.to_pylist() for c in block.columns)
-        own: list[np.ndarray] = []
+        own: list = []
         new = False
         for t, f, r in zip(texts, files, rows, strict=True):
             if f != file or r <= last:
@@ -108,7 +108,7 @@ def _stretches(batches: Iterator[pa.RecordBatch], encode) -> Iterator[tuple[str,
                     yield file, first, new, own
                 file, first, own, new = f, r, [], True
             last = r
-            own.append(encode(t or ""))
+            own.append(take(t or ""))
         yield file, first, new, own
 
 
@@ -120,10 +120,10 @@ def stretches(ordered: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: list = []
-        for file, first, new, docs in _stretches(batches, tokens.bpe(path).encode):
+        for file, first, new, counts in _stretches(batches, tokens.bpe(path).count):
             if new:
                 now.append([file, first, 0])
-            now[-1][2] += sum(map(len, docs)) + len(docs)
+            now[-1][2] += sum(counts) + len(counts)
         if now:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*now, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["file", "first", "n_ids"])
 
@@ -149,11 +149,11 @@ def starts(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     return names[order], begins[order], int(ends[-1]) if rows else 0
 
 
-PIECES = "number long, at int, ids binary"
+PIECES = "slot long, at int, ids binary"
 
 
-def pieces(ordered: DataFrame, path: str, names: np.ndarray, begins: np.ndarray, total: int, length: int, end_id: int) -> DataFrame:
-    """Rows (number of a sequence, place in it, ids of 16 bits): whole sequences but for those that stretches share."""
+def pieces(ordered: DataFrame, path: str, names: np.ndarray, begins: np.ndarray, permutation: Permutation, length: int, end_id: int) -> DataFrame:
+    """Rows (slot of a sequence, place in it, ids of 16 bits): whole sequences but for those that stretches share."""
     shared = ordered.sparkSession.sparkContext.broadcast((names, begins))  # two numbers a file split
 
     def batch(at: int, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -164,11 +164,12 @@ def pieces(ordered: DataFrame, path: str, names: np.ndarray, begins: np.ndarray,
         cuts = np.arange(at // length, (at + len(ids) - 1) // length + 1)
         lo = np.maximum(cuts * length, at) - at
         hi = np.minimum((cuts + 1) * length, at + len(ids)) - at
+        slots = permutation.slot(cuts)
         for i in range(0, len(cuts), BATCH):
             part = slice(i, i + BATCH)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cuts[part]), pa.array((lo[part] + at - cuts[part] * length).astype(np.int32)), pa.array([raw[2 * a : 2 * b] for a, b in zip(lo[part].tolist(), hi[part].tolist(), strict=True)], pa.binary())],
-                names=["number", "at", "ids"],
+                [pa.array(slots[part]), pa.array((lo[part] + at - cuts[part] * length).astype(np.int32)), pa.array([raw[2 * a : 2 * b] for a, b in zip(lo[part].tolist(), hi[part].tolist(), strict=True)], pa.binary())],
+                names=["slot", "at", "ids"],
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,13 +212,7 @@ def materialise(docs: DataFrame, out: str, key: str, path: str | None = None, le
     permutation = Permutation(max(1, n), key)
     shards = max(1, -(-n // shard))
     tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // 16)))
-    made = pieces(ordered, path, names, begins, total, length, end_id)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(permutation.slot(b.column(0).to_numpy())), b.column(1), b.column(2)], names=["slot", "at", "ids"])
-
-    placed = made.mapInArrow(place, "slot long, at int, ids binary").withColumn("task", F.expr(f"cast((slot div {shard}) * {tasks} div {shards} as int)"))
+    placed = pieces(ordered, path, names, begins, permutation, length, end_id).withColumn("task", F.expr(f"cast((slot div {shard}) * {tasks} div {shards} as int)"))
     ranges = placed.repartitionById(tasks, F.col("task")).sortWithinPartitions("slot", "at").select("slot", "at", "ids")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
