@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 BLOCK_BYTES = 4 << 20
 
 
+#: Folders that this driver has made in the shared folder and not deleted.
+_made: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -28,7 +32,9 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.gettempdir() + "/eddyline-shared"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -40,10 +46,18 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate results that no later step reads."""
+    if path in _made:
+        _made.remove(path)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def discard_all(spark: SparkSession) -> None:
+    """Delete all intermediate results of this driver: once the results that read them are stored or read."""
+    for path in list(_made):
+        discard(spark, path)
+
+
 def blocks(batches: Iterable[pa.RecordBatch], column: int, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the named column holds about `limit` bytes a block."""
     for batch in batches:
