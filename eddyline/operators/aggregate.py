@@ -161,34 +161,62 @@ def running(df: DataFrame, policy: Policy, by: Sequence[str] = (), **aggregates:
     return df.select("*", *(a.over(frame).alias(n) for n, a in aggregates.items()))
 
 
-def running_unkeyed(df: DataFrame, bucket_us: int = 3_600_000_000, **aggregates: tuple[str, str | Column]) -> DataFrame:
-    """Running sum, count, min or max over a whole stream without a key, spread over buckets of time.
+def running_spread(df: DataFrame, column: str, us: int, by: Sequence[str] = (), spans: int = 8, **aggregates: Column) -> DataFrame:
+    """Aggregates of the events of the last d microseconds by a column, with each key spread over buckets of time.
+
+    The same as `running` over Time or ExternallyTimed, for few keys with very many events: a bucket is some spans
+    long and also sees the events of the span before it, so one row in `spans` is shuffled twice. Rows without a
+    time are left where `running` has them, in a bucket of their own.
+    """
+    width = us * spans
+    at = F.floor(F.col(column) / width)
+    log = df.withColumn("_own", at).withColumn("_bucket", F.explode(F.when(F.floor((F.col(column) + (us - 1)) / width) > at, F.array(at, at + 1)).otherwise(F.array(at))))
+    frame = Window.partitionBy(*by, "_bucket").orderBy(column).rangeBetween(-(us - 1), 0)
+    made = log.select("*", *(a.over(frame).alias(n) for n, a in aggregates.items()))
+    return made.where(F.col("_bucket").eqNullSafe(F.col("_own"))).drop("_bucket", "_own")
+
+
+def running_unkeyed(df: DataFrame, bucket_us: int = 3_600_000_000, by: Sequence[str] = (), **aggregates: tuple[str, str | Column]) -> DataFrame:
+    """Running sum, count, min, max, first or last over a whole stream, or few keys of it, spread over buckets of time.
 
     aggregates: name=(kind, argument). Order matters within a bucket only; each bucket starts from the aggregates of
-    all before it, and only those, a row a bucket, are one sequence. Events without a time come before all others.
+    all before it, and only those, a row a bucket and key, are one sequence. Events without a time come before all
+    others.
     """
-    partial = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
-    again = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
+    at = F.struct("_ts", "_seq")
+    partial = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "first": lambda x: F.min_by(x, at), "last": lambda x: F.max_by(x, at)}
+    inside = partial | {"first": F.first, "last": F.last}
+    again = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max, "first": F.first, "last": F.last}
     log = df.withColumn("_bucket", F.floor(F.col("_ts") / bucket_us))
-    sums = log.groupBy("_bucket").agg(*(partial[k](_c(x)).alias(n) for n, (k, x) in aggregates.items()))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.select(F.col("_bucket").alias("_of"), *(again[k](n).over(before).alias(f"_before_{n}") for n, (k, _) in aggregates.items()))
-    w = Window.partitionBy("_bucket").orderBy("_ts", "_seq").rowsBetween(Window.unboundedPreceding, 0)
-    own = log.select("*", *(partial[k](_c(x)).over(w).alias(n) for n, (k, x) in aggregates.items())).join(carry, F.col("_bucket").eqNullSafe(F.col("_of")))
+    sums = log.groupBy(*by, "_bucket").agg(*(partial[k](_c(x)).alias(n) for n, (k, x) in aggregates.items()))
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = sums.select(*(F.col(b).alias(f"_of_{b}") for b in by), F.col("_bucket").alias("_of"), (F.count("*").over(before) > 0).alias("_later"), *(again[k](n).over(before).alias(f"_before_{n}") for n, (k, _) in aggregates.items()))
+    w = Window.partitionBy(*by, "_bucket").orderBy("_ts", "_seq").rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("_bucket").eqNullSafe(F.col("_of"))
+    for b in by:
+        same &= F.col(b).eqNullSafe(F.col(f"_of_{b}"))
+    own = log.select("*", *(inside[k](_c(x)).over(w).alias(n) for n, (k, x) in aggregates.items())).join(carry, same)
 
     def joined(n: str, kind: str) -> Column:
         a, b = F.col(f"_before_{n}"), F.col(n)
         if kind in ("min", "max"):
             return (F.least if kind == "min" else F.greatest)(a, b)
+        if kind == "first":
+            return F.when(F.col("_later"), a).otherwise(b)
+        if kind == "last":
+            return b
         return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
 
-    return own.withColumns({n: joined(n, k) for n, (k, _) in aggregates.items()}).drop("_bucket", "_of", *(f"_before_{n}" for n in aggregates))
+    return own.withColumns({n: joined(n, k) for n, (k, _) in aggregates.items()}).drop("_bucket", "_of", "_later", *(f"_of_{b}" for b in by), *(f"_before_{n}" for n in aggregates))
+
 
+def with_old(df: DataFrame, names: Sequence[str], by: Sequence[str] = (), initial: dict[str, object] | None = None) -> DataFrame:
+    """New and old rows of running aggregates: the old row of a change is the group's row before it.
 
-def with_old(df: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """New and old rows of running aggregates: the old row of a change is the group's row before it."""
+    initial: what aggregates are before the first event, such as 0 for counts; null where it is not given.
+    """
     w = ordered(by)
-    old = df.select("*", *(F.lag(n).over(w).alias(f"_old_{n}") for n in names)).drop(*names).withColumnsRenamed({f"_old_{n}": n for n in names})
+    old = df.select("*", *(F.lag(n, 1, (initial or {}).get(n)).over(w).alias(f"_old_{n}") for n in names)).drop(*names).withColumnsRenamed({f"_old_{n}": n for n in names})
     return df.withColumn("_op", F.lit("+")).unionByName(old.withColumn("_op", F.lit("-")))
 
 

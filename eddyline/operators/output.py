@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eddyline.operators.retain import ordered
 
@@ -229,7 +230,7 @@ def when(df: DataFrame, condition: Callable[[Counters], bool], by: Sequence[str]
         numbered = df.withColumn("_came", own).withColumn("_n", F.sum("_came").over(upto) - F.col("_came"))
         numbered = numbered.withColumn("_batch", F.floor(F.col("_n") / condition.n)).withColumn("_full", F.floor(F.sum("_came").over(whole) / condition.n))
         return numbered.where("_batch < _full").drop("_came", "_n", "_full")
-    schema = f"{df._jdf.schema().toDDL()}, _batch long"
+    schema = T.StructType([*df.schema.fields, T.StructField("_batch", T.LongType())])
     has_op = "_op" in df.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -519,20 +519,27 @@ class TimeBatchCalendar(Fold):
 
 @dataclass(frozen=True)
 class TimeLengthBatch(Fold):
-    """Flush after n events or d, whichever is first; d counts from the last flush or the first event after it."""
+    """Flush after n events or d, whichever is first; d counts from the last flush or the first event after it.
+
+    With a start, an eager one, d counts from there, and empty intervals flush as well, so that the schedule goes on.
+    """
 
     us: int
     n: int
+    start: int | None = None
 
     def lives(self, events):
         ts, seq = events["_ts"].tolist(), events["_seq"].tolist()
         flushes: list[tuple[list[int], tuple]] = []
         held: list[int] = []
-        due = None
+        due = None if self.start is None else self.start + self.us
         for i, t in enumerate(ts):
             while due is not None and t >= due:
                 flushes.append((held, (due, -1)))
-                due = due + self.us if held else None
+                if held:
+                    due = due + self.us
+                else:  # the flushes of further empty intervals change nothing
+                    due = None if self.start is None else due + ((t - due) // self.us + 1) * self.us
                 held = []
             if due is None:
                 due = t + self.us
@@ -651,9 +658,13 @@ class ExpressionBatch(Fold):
 # ---- what follows from lifetimes ---------------------------------------------------------------------------
 
 
-def changes(live: DataFrame) -> DataFrame:
-    """The change log: `_op` + and -, with the instant (`_at`) of each; old rows come before new ones of an instant."""
+def changes(live: DataFrame, volatile: Sequence[str] = ()) -> DataFrame:
+    """The change log: `_op` + and -, with the instant (`_at`) of each; old rows come before new ones of an instant.
+
+    volatile: columns that look at the window, such as previous events; a row that leaves has none (null).
+    """
     old = live.where("_out is not null").withColumn("_op", F.lit("-")).withColumn("_at", F.col("_out"))
+    old = old.withColumns({c: F.lit(None).cast(live.schema[c].dataType) for c in volatile}) if volatile else old
     return live.withColumn("_op", F.lit("+")).withColumn("_at", F.col("_in")).unionByName(old)
 
 

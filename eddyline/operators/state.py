@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eddyline.operators.retain import Policy, snapshot
+from eddyline.operators.retain import Policy
 
 
 def latest(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -140,7 +140,7 @@ def merge(df: DataFrame, key: str, schema: str, actions: Sequence[Action], all_b
     schema: the table's columns besides the key. The first branch that applies acts (or all of them in order).
     The log has key, columns, `_op` (+ new, - old, > sent to `_target`), `_ts`, `_seq`.
     """
-    own = T._parse_datatype_string(schema)
+    own = T.StructType.fromDDL(schema)
     names = own.names
     kind = df.schema[key].dataType.simpleString()
     out_schema = f"{key} {kind}, {schema}, _op string, _target string, _ts long, _seq long"
@@ -198,18 +198,31 @@ def merge_batch(table: DataFrame, source: DataFrame, key: str, update: dict[str,
 
 
 class Store:
-    """Named windows and tables by name, each a version of a DataFrame. A failed statement leaves all as it was."""
+    """Named windows and tables by name, each a version of a DataFrame. A failed statement leaves all as it was.
 
-    def __init__(self):
+    With a folder (shared by the cluster) each version is written there as Parquet and read back, so that statements
+    do not pile up in one plan and a version survives lost executors; without, versions are plans over each other.
+    """
+
+    def __init__(self, folder: str | None = None):
+        self._folder, self._version = folder, 0
         self._states: dict[str, DataFrame] = {}
         self._keys: dict[str, tuple[str, ...]] = {}
 
     def create(self, name: str, rows: DataFrame, primary_key: Sequence[str] = (), retention: Policy | None = None) -> None:
         if name in self._states:
             raise ValueError(f"{name} exists")
-        self._states[name] = rows if retention is None else snapshot(retention.lifetimes(rows)).drop("_in", "_out")
+        self._states[name] = self._stored(name, rows if retention is None else retention.retained(rows))
         self._keys[name] = tuple(primary_key)
 
+    def _stored(self, name: str, rows: DataFrame) -> DataFrame:
+        if self._folder is None:
+            return rows
+        self._version += 1
+        path = f"{self._folder.rstrip('/')}/{name}-{self._version:08d}"
+        rows.write.parquet(path)
+        return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
     def read(self, name: str) -> DataFrame:
         if name not in self._states:
             raise KeyError(f"no window or table {name}")
@@ -221,6 +234,7 @@ class Store:
 
     def _put(self, name: str, rows: DataFrame) -> None:
         keys = self._keys[name]
+        rows = self._stored(name, rows)
         if keys and not rows.groupBy(*keys).count().where("count > 1").isEmpty():
             raise ValueError(f"{name}: more than one row for a primary key")
         self._states[name] = rows

@@ -46,7 +46,7 @@ def window_time_avg(t: Tables) -> DataFrame:
 )
 def window_ext_timed(t: Tables) -> DataFrame:
     log = t.log.withColumn("ext", F.col("_ts"))
-    out = A.running(log, R.ExternallyTimed("ext", 600 * R.SECOND), ["event_type"], n=F.count("*"), min_value=F.min("value"))
+    out = A.running_spread(log, "ext", 600 * R.SECOND, ["event_type"], n=F.count("*"), min_value=F.min("value"))
     return out.select("event_id", "n", r("min_value").alias("min_value"))
 
 
@@ -322,8 +322,9 @@ def aggregate_first_last_nth(t: Tables) -> DataFrame:
     from events window w as (partition by event_type order by ts, event_id rows unbounded preceding)"""
 )
 def aggregate_ever(t: Tables) -> DataFrame:
-    w = A.ever(["event_type"])
-    return t.log.select("event_id", F.first("value").over(w).alias("first_ever"), F.max("value").over(w).alias("max_ever"), F.min("value").over(w).alias("min_ever"), F.count("*").over(w).alias("count_ever"))
+    """Of the five types all events so far, each type spread over hours."""
+    out = A.running_unkeyed(t.log, by=["event_type"], first_ever=("first", "value"), max_ever=("max", "value"), min_ever=("min", "value"), count_ever=("count", F.lit(1)))
+    return out.select("event_id", "first_ever", "max_ever", "min_ever", "count_ever")
 
 
 @query(

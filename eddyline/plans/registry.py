@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import io
 import json
+import re
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -42,7 +45,7 @@ class Registry:
             raise ValueError(f"event type {name} exists")
         if representation not in REPRESENTATIONS:
             raise ValueError(f"no representation {representation}")
-        own = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        own = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         fields: dict[str, T.StructField] = {}
         for source in (*(self.get(p).schema for p in (*parents, *copied_from)), own):
             for f in source.fields:
@@ -164,6 +167,16 @@ class Plan:
         return json.dumps({"name": self.name, "schema": json.loads(self.schema.json()), "text": self.text, "hash": self.hash, "uses": self.uses}, sort_keys=True).encode()
 
 
+def _plan_text(df: DataFrame) -> str:
+    """The analysed plan without the numbers that Spark gives to columns and relations."""
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("extended")
+    text = out.getvalue()
+    analysed = text[text.find("== Analyzed Logical Plan ==") : text.find("== Optimized Logical Plan ==")]
+    return re.sub(r"#\d+L?", "", analysed)
+
+
 def load_artifact(data: bytes) -> dict:
     """An artifact, its hash verified."""
     out = json.loads(data)
@@ -302,7 +315,7 @@ class Engine:
         hints and annotations are kept with the plan; hints on indexes and sharing name nothing that Spark has.
         """
         df = build(self, **parameters)
-        return Plan(name, build, df.schema, df._jdf.queryExecution().analyzed().canonicalized().toString(), tuple(uses), tuple(dict.fromkeys(hints)), tuple((annotations or {}).items()))
+        return Plan(name, build, df.schema, _plan_text(df), tuple(uses), tuple(dict.fromkeys(hints)), tuple((annotations or {}).items()))
 
     def context_of(self, statement: str, partition: Column | None = None) -> Column:
         """What an expression can know of where it runs: application, statement, context partition, instant."""

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 def parse_json(df: DataFrame, column: str, schema: str | T.StructType, reject_unknown: bool = False, defaults: dict[str, Any] | None = None) -> DataFrame:
     """JSON text as columns. Text that is no JSON object of the schema gives nulls; unknown fields may be rejected."""
     ddl = schema if isinstance(schema, str) else schema.simpleString()
-    names = T._parse_datatype_string(ddl).names
+    names = T.StructType.fromDDL(ddl).names
     out = df.withColumn("_json", F.from_json(column, ddl))
     if reject_unknown:
         out = out.where(F.size(F.array_except(F.json_object_keys(column), F.array(*map(F.lit, names)))) == 0)

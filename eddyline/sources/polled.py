@@ -6,11 +6,12 @@ sources. Rows of a batch are kept until it is committed, so that a batch run aga
 
 from __future__ import annotations
 
+import inspect
 import json
 import threading
 from collections.abc import Callable, Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
-from queue import Empty, Queue
+from queue import Empty, Full, Queue
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,16 @@ class Client(Protocol):
     def poll(self, most: int) -> list[tuple]:
         """Rows that have come, without waiting."""
 
-    def acknowledge(self) -> None:
-        """All rows polled so far are stored."""
+    def acknowledge(self, n: int) -> None:
+        """The first n rows of all that were polled are stored; later ones may be asked for again after a crash."""
+
+
+def confirm(client: Client, n: int, polled: int) -> None:
+    """Acknowledge the first n of the rows polled. A client that can only confirm all of them is told once all are stored."""
+    if inspect.signature(client.acknowledge).parameters:
+        client.acknowledge(n)
+    elif n == polled:
+        client.acknowledge()
 
 
 def polled(spark: SparkSession, name: str, schema: str, connect: Callable[[], Client], most: int = 1000) -> DataFrame:
@@ -34,7 +43,7 @@ def polled(spark: SparkSession, name: str, schema: str, connect: Callable[[], Cl
         def __init__(self):
             self.client: Client | None = None
             self.held: list[tuple] = []
-            self.first = 0
+            self.first = self.origin = 0
 
         def initialOffset(self):  # noqa: N802
             return {"n": 0}
@@ -42,6 +51,7 @@ def polled(spark: SparkSession, name: str, schema: str, connect: Callable[[], Cl
         def read(self, start):
             if self.client is None:
                 self.client, self.first = connect(), start["n"]
+                self.origin = self.first
             new = self.client.poll(most)
             self.held = self.held[: start["n"] - self.first] + new
             return iter(new), {"n": start["n"] + len(new)}
@@ -52,7 +62,7 @@ def polled(spark: SparkSession, name: str, schema: str, connect: Callable[[], Cl
         def commit(self, end):
             self.held, self.first = self.held[end["n"] - self.first :], end["n"]
             if self.client is not None:
-                self.client.acknowledge()
+                confirm(self.client, end["n"] - self.origin, self.first + len(self.held) - self.origin)
 
     class Source(DataSource):
         @classmethod
@@ -70,17 +80,25 @@ def polled(spark: SparkSession, name: str, schema: str, connect: Callable[[], Cl
 
 
 class HttpServer:
-    """Events posted as JSON objects to a port; rows hold the named fields, null where absent."""
+    """Events posted as JSON objects to a port; rows hold the named fields, null where absent.
 
-    def __init__(self, host: str, port: int, fields: list[str]):
-        queue: Queue[tuple] = Queue()
+    At most `most` events wait; beyond that a post is answered 503 and may be sent again. If `durable` is a number of
+    seconds, a post is answered 204 only once its row is stored, and 503 if that takes longer; otherwise as soon as
+    it waits in memory, so a crash loses what was accepted and not yet stored.
+    """
+
+    def __init__(self, host: str, port: int, fields: list[str], most: int = 10_000, durable: float | None = None):
+        queue: Queue[tuple[tuple, threading.Event]] = Queue(most)
 
         class Handler(BaseHTTPRequestHandler):
             def do_POST(self):  # noqa: N802
                 try:
                     event = json.loads(self.rfile.read(int(self.headers.get("Content-Length", 0))))
-                    queue.put(tuple(event.get(f) for f in fields))
-                    self.send_response(204)
+                    row, stored = tuple(event.get(f) for f in fields), threading.Event()
+                    queue.put_nowait((row, stored))
+                    self.send_response(204 if durable is None or stored.wait(durable) else 503)
+                except Full:
+                    self.send_response(503)
                 except (ValueError, AttributeError):
                     self.send_response(400)
                 self.end_headers()
@@ -89,6 +107,8 @@ class HttpServer:
                 pass
 
         self.queue = queue
+        self.polled: list[threading.Event] = []
+        self.confirmed = 0
         self.server = ThreadingHTTPServer((host, port), Handler)
         threading.Thread(target=self.server.serve_forever, daemon=True).start()
 
@@ -96,13 +116,18 @@ class HttpServer:
         out: list[tuple] = []
         while len(out) < most:
             try:
-                out.append(self.queue.get_nowait())
+                row, stored = self.queue.get_nowait()
             except Empty:
                 break
+            out.append(row)
+            self.polled.append(stored)
         return out
 
-    def acknowledge(self) -> None:
-        pass
+    def acknowledge(self, n: int) -> None:
+        for stored in self.polled[: n - self.confirmed]:
+            stored.set()
+        del self.polled[: n - self.confirmed]
+        self.confirmed = max(n, self.confirmed)
 
 
 def http_server(spark: SparkSession, name: str, schema: str, host: str, port: int) -> DataFrame:
@@ -113,6 +138,8 @@ def http_server(spark: SparkSession, name: str, schema: str, host: str, port: in
 
 def batches(client: Client, most: int = 1000) -> Iterator[list[tuple]]:
     """What a client has, batch by batch, outside a stream."""
+    n = 0
     while rows := client.poll(most):
         yield rows
-        client.acknowledge()
+        n += len(rows)
+        confirm(client, n, n)

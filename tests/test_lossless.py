@@ -82,3 +82,60 @@ def test_two_feedback_edges_bring_both_rows(spark):
     flow.connect_feedback("inc", "inc", 1).connect_feedback("twice", "inc", 1)
     got = sorted(r["n"] for r in flow.run()["inc"]["out"].collect())
     assert got == sorted([11, 12, 21, 22, 1110, 1210])
+
+
+def test_only_stored_rows_are_acknowledged():
+    from eddyline.sources import polled as L
+
+    class All:
+        told = 0
+
+        def acknowledge(self):
+            self.told += 1
+
+    class Some:
+        told = 0
+
+        def acknowledge(self, n):
+            self.told = n
+
+    a, b = All(), Some()
+    for n, polled in ((2, 5), (5, 5)):
+        L.confirm(a, n, polled)
+        L.confirm(b, n, polled)
+        assert b.told == n
+    assert a.told == 1
+
+
+def test_http_server_refuses_what_it_cannot_hold():
+    import json
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from eddyline.sources.polled import HttpServer
+
+    def post(server, value):
+        url = f"http://127.0.0.1:{server.server.server_address[1]}"
+        try:
+            return urllib.request.urlopen(urllib.request.Request(url, json.dumps({"a": value}).encode()), timeout=20).status
+        except urllib.error.HTTPError as e:
+            return e.code
+
+    server = HttpServer("127.0.0.1", 0, ["a"], most=2)
+    assert [post(server, i) for i in range(3)] == [204, 204, 503]
+    assert server.poll(10) == [(0,), (1,)] and post(server, 3) == 204
+    sure = HttpServer("127.0.0.1", 0, ["a"], durable=10.0)
+    seen = []
+    sender = threading.Thread(target=lambda: seen.append(post(sure, 1)))
+    sender.start()
+    while not (rows := sure.poll(5)):
+        pass
+    assert rows == [(1,)] and not seen
+    sure.acknowledge(1)
+    sender.join(20)
+    assert seen == [204]
+    hasty = HttpServer("127.0.0.1", 0, ["a"], durable=0.05)
+    assert post(hasty, 1) == 503
+    for s in (server, sure, hasty):
+        s.server.shutdown()

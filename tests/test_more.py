@@ -189,3 +189,19 @@ def test_sketch_header_is_what_is_read(spark):
     data = bytes(spark.range(10).agg(A.count_min_sketch(F.col("id"), 0.1, 0.9, 1).alias("s")).first()["s"])
     version, total, depth, width = struct.unpack_from(">iqii", data)
     assert (version, total) == (1, 10) and len(data) == 20 + 8 * depth + 8 * depth * width
+
+
+def test_versions_of_a_store_in_a_folder(spark, tmp_path):
+    plain, kept = S.Store(), S.Store(f"file://{tmp_path}/store")
+    rows = spark.createDataFrame([(i, f"v{i}") for i in range(6)], "k int, v string")
+    for store in (plain, kept):
+        store.create("t", rows, ["k"])
+        store.update("t", F.col("k") > 3, v=F.lit("new"))
+        store.insert("t", spark.createDataFrame([(9, "nine")], "k int, v string"))
+        store.delete("t", F.col("k") == 0)
+        with pytest.raises(ValueError):
+            store.insert("t", spark.createDataFrame([(9, "again")], "k int, v string"))
+        with pytest.raises(ZeroDivisionError):
+            store.atomically(lambda s: s.delete_all("t"), lambda s: 1 / 0)
+    assert sorted(map(tuple, plain.read("t").collect())) == sorted(map(tuple, kept.read("t").collect()))
+    assert "Union" not in kept.read("t")._jdf.queryExecution().optimizedPlan().toString()

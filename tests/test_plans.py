@@ -132,3 +132,17 @@ def test_deletes_and_resets_against_loops(log):
         else:
             want[r["k"]] = want.get(r["k"], 0) + 1
     assert made == want
+
+
+def test_spread_keys_against_one_task_a_key(log):
+    from eddyline.operators import aggregate as A
+
+    w = A.ever(["k"])
+    both = log.unionByName(log.where("_seq < 3").withColumn("_ts", F.lit(None).cast("long")).withColumn("_seq", F.col("_seq") - 10))
+    want = both.select("_seq", F.first("v").over(w).alias("a"), F.last("v").over(w).alias("b"), F.max("v").over(w).alias("c"), F.count("v").over(w).alias("d"), F.sum("v").over(w).alias("e"))
+    got = A.running_unkeyed(both, 130, ["k"], a=("first", "v"), b=("last", "v"), c=("max", "v"), d=("count", "v"), e=("sum", "v"))
+    assert bag(got.select("_seq", "a", "b", "c", "d", "e")) == bag(want)
+    for us, spans in ((70, 8), (70, 1), (1, 3), (5000, 2)):
+        want = A.running(log, R.Time(us), ["k"], n=F.count("*"), s=F.sum("v"))
+        got = A.running_spread(log, "_ts", us, ["k"], spans, n=F.count("*"), s=F.sum("v"))
+        assert bag(got.select("_seq", "n", "s")) == bag(want.select("_seq", "n", "s"))
