@@ -39,25 +39,28 @@ def components(edges: DataFrame, tag: str, most_rounds: int = 60) -> DataFrame:
     """
     spark = edges.sparkSession
 
-    def put(df: DataFrame) -> tuple[DataFrame, str, tuple]:
+    def put(df: DataFrame) -> tuple[DataFrame, str]:
         path = shared_dir(spark, tag)
         df.write.parquet(path)
-        out = spark.read.schema("u long, v long").parquet(path)
-        mark = out.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        return out, path, tuple(mark)
+        return spark.read.schema("u long, v long").parquet(path), path
 
-    now, path, mark = put(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    def marked(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    now, path = put(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    mark = marked(now)
     for _ in range(most_rounds):
         if not mark[0]:
             break
         around = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large, large_path, _ = put(large)
+        large, large_path = put(large)
         # every edge points from the larger node to the smaller one
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(root.select("u", F.col("m").alias("v"))).distinct()
-        before, (now, new_path, mark) = mark, put(small)
+        now, new_path = put(small)
+        before, mark = mark, marked(now)
         discard(spark, path)
         discard(spark, large_path)
         path = new_path

@@ -253,7 +253,8 @@ def first_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """
     marks = stored(classes.where("doc_id is not null").groupBy("doc_id", "mark", "class", "component_id").agg(F.count("*").alias("rows")), "first-marks")
     best = marks.where("doc_id = component_id").groupBy("class").agg(F.min("mark").alias("best"))
-    later = marks.join(best, "class").where("doc_id <> component_id or mark <> best")
+    # stored, so that the planner knows its size: below its threshold for broadcasts no text is shuffled
+    later = stored(marks.join(best, "class").where("doc_id <> component_id or mark <> best").select("doc_id", "mark"), "first-later")
     marked = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__mark": row_mark()})
     kept = marked.join(later.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")), ["__id", "__mark"], "left_anti")
     repeated = marks.where("rows > 1").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"))
