@@ -1,10 +1,14 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash proposes, exact sets decide.
+"""Near copies by the Jaccard similarity of word shingles: SimHash tries and MinHash propose, exact sets decide.
 
-Texts with one set of shingles are one node. A node's MinHash is cut into bands; nodes that share a band are
-candidates, which misses a pair of similarity 0.8 with a chance of (1 - 0.8^4)^24 = 3e-6 and a closer one more rarely.
+Texts with one set of shingles are one node. A node has several SimHash fingerprints of its shingles. Each is joined
+with itself in operator 9's trie, with a wider budget of bits, and a node is compared with the smallest one of each
+component that a task of that walk finds, or of its own leaf. A fingerprint of 64 bits cannot hold all pairs that are
+asked for: at a similarity of 0.8 two differ in 10 bits on average, and a trie of such a budget prunes nothing. For
+the rest a node's MinHash is cut into bands; nodes that share a band are candidates, which misses a pair of similarity
+0.8 with a chance of (1 - 0.8^4)^24 = 3e-6 and a closer one more rarely.
 
-First every node is compared with the smallest node of each of its bands: as many pairs as there are nodes, however
-large a band is, and enough to join a text and its copies. A band whose nodes are then in one component is settled.
+With these, every node is compared with the smallest node of each of its bands: as many pairs as there are nodes,
+however large a band is, and enough to join a text and its copies. A band whose nodes are then in one component is settled.
 In an open band the nodes of different components are compared with each other, those of one component are passed
 over. All comparisons are exact. The nodes of a centre, or of an open band, are cut into blocks of bounded rows and
 shingles; a block with its centre, or a pair of blocks, is a task's unit of work, so a very large group is dealt out
@@ -24,6 +28,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -34,7 +39,10 @@ from pyspark.sql import functions as F
 
 from eddyline.llm.common import blocks, stored
 from eddyline.llm.components import components
-from eddyline.llm.simhash import _word_lists, row_mark, with_components
+from eddyline.llm.simhash import _word_lists, links, row_mark, with_components
+
+#: SimHash fingerprints of a node, and the bits in which two of one number may differ to be linked in its trie.
+FINGERPRINTS, BITS = 4, 4
 
 #: Bands of a MinHash and hashes in a band.
 BANDS, ROWS = 24, 4
@@ -84,14 +92,39 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)], np.uint64).view(np.int64)
 
 
+def fingerprints(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash fingerprints of a set of shingles as signed longs, each from hashes of its own."""
+    out = np.zeros(FINGERPRINTS, np.int64)
+    for k in range(FINGERPRINTS if len(hashes) else 0):
+        counts = np.zeros(64, np.int64)
+        for i in range(0, len(hashes), 1 << 15):
+            h = hashes[i : i + (1 << 15)]
+            if k:
+                h = (h ^ (h >> np.uint64(31))) * _MIX[-k]
+                h ^= h >> np.uint64(32)
+            counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[k] = np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0]
+    return out
+
+
 def marks(docs: DataFrame, words: int = 5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, 2):
             sets = [hashed(t, words) for t in block.column(2).to_pylist()]
-            columns = [block.column(0), block.column(1), pa.array([key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "key", "n", "bands"])
+            columns = [block.column(0), block.column(1), pa.array([key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64())), pa.array([fingerprints(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "key", "n", "bands", "fps"])
+
+    return docs.select(F.col("doc_id").cast("long"), row_mark(), F.col("text").cast("string")).mapInArrow(run, "doc_id long, mark long, key long, n long, bands array<long>, fps array<long>")
+
 
-    return docs.select(F.col("doc_id").cast("long"), row_mark(), F.col("text").cast("string")).mapInArrow(run, "doc_id long, mark long, key long, n long, bands array<long>")
+def trie_rows(nodes: DataFrame) -> DataFrame:
+    """Rows (key, centre) of the nodes that a trie of fingerprints links; the centre is the smallest node of a leaf or of what a task links."""
+    found = []
+    for k in range(FINGERPRINTS):
+        own = nodes.select("key", F.element_at("fps", k + 1).alias("fp"))
+        leaves = own.groupBy("fp").agg(F.min("key").alias("node"))
+        found += [own.join(leaves, "fp").where("key <> node").select("key", F.col("node").alias("centre")), links(leaves, BITS).toDF("key", "centre")]
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def band_rows(nodes: DataFrame) -> DataFrame:
@@ -195,7 +228,7 @@ def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def star_links(docs: DataFrame, nodes: DataFrame, shared: DataFrame, words: int, least: Fraction, block_nodes: int, block_shingles: int) -> DataFrame:
-    """Links (u, v) of the nodes that are similar to the centre of one of their bands."""
+    """Links (u, v) of the nodes that are similar to a centre that they are shared with."""
     pairs = stored(shared.select("key", "centre").distinct().join(nodes.select("key", "n"), "key"), "shingles-stars")
     cuts = _cuts(pairs, "centre", block_nodes, block_shingles)
     members = pairs.join(cuts, "centre").select("key", "centre", _block().alias("block"), F.lit(1).alias("side"))
@@ -253,11 +286,12 @@ def near_copies(docs: DataFrame, words: int = 5, least: str = "0.8", block_nodes
     t, sizes = Fraction(least), (block_nodes, block_shingles)
     marked = stored(marks(docs, words), "shingles")
     place = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark")))
-    nodes = marked.groupBy("key").agg(place.alias("at"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    nodes = stored(nodes.select("key", F.col("at.doc_id").alias("least"), "at.mark", "n", "bands"), "shingles-nodes")
+    nodes = marked.groupBy("key").agg(place.alias("at"), *(F.first(c).alias(c) for c in ("n", "bands", "fps")))
+    nodes = stored(nodes.select("key", F.col("at.doc_id").alias("least"), "at.mark", "n", "bands", "fps"), "shingles-nodes")
     with_id = nodes.where("least is not null")
     shared = stored(band_rows(with_id), "shingles-bands")
-    stars = stored(star_links(docs, with_id, shared, words, t, *sizes), "shingles-links")
+    tries = stored(trie_rows(with_id), "shingles-tries")
+    stars = stored(star_links(docs, with_id, tries.unionByName(shared.select("key", "centre")), words, t, *sizes), "shingles-links")
     joined = stored(components(stars, "shingles-forest"), "shingles-joined")
     more = stored(open_links(docs, with_id, shared, joined, words, t, *sizes), "shingles-more")
     if not more.isEmpty():

@@ -54,3 +54,34 @@ def test_similarity_at_the_edge():
     texts = ["a b c d e f g h i j k l m", "a b c d e f g h i j k l x", "a b c d e f g h i j k y z"]  # 9 shingles; 8 of 10, 7 of 11
     assert S.unit_links(texts, [0] * 3, False, 5, Fraction("0.8")) == [(1, 0)]
     assert S.unit_links(texts, [0, 0, 1], True, 5, Fraction("0.8")) == []
+
+
+def edits(n):
+    """Long texts and light edits of each, by id."""
+    out = {}
+    for i in range(n):
+        words = [f"w{i}_{k}" for k in range(1500)]
+        out[2 * i] = " ".join(words)
+        words[700] = "edit"
+        out[2 * i + 1] = " ".join(words)
+    return out
+
+
+def test_trie_links_every_pair_within_its_bits(spark):
+    sets = {S.key(h): S.fingerprints(h).view("u8").tolist() for h in map(S.hashed, edits(20).values())}
+    near = {k: k for k in sets}
+    for a, b in combinations(sorted(sets), 2):  # the smaller one leads each pair of texts
+        if any((x ^ y).bit_count() <= S.BITS for x, y in zip(sets[a], sets[b], strict=True)):
+            near[b] = a
+    nodes = spark.createDataFrame([(k, [x - (1 << 64) if x >> 63 else x for x in f]) for k, f in sets.items()], "key long, fps array<long>")
+    got = {(r["key"], r["centre"]) for r in S.trie_rows(nodes).collect()}
+    assert got == {(b, a) for b, a in near.items() if a != b} and len(got) > 10
+
+
+def test_near_copies_come_through_the_trie(spark, monkeypatch):
+    rows = S.band_rows
+    monkeypatch.setattr(S, "band_rows", lambda nodes: rows(nodes).where("false"))
+    texts = edits(20)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in S.near_copies(docs).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(20)) > 10 and all(got[i] in (i, i - i % 2) for i in got)
