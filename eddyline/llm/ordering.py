@@ -96,19 +96,19 @@ def in_order(docs: DataFrame) -> DataFrame:
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], take) -> Iterator[tuple[str, int, bool, list]]:
-    """(file, first row, whether it begins here, `take` of its texts): the input's stretches of one file, block by block."""
+    """(file, first row, whether it begins here, what `take` makes of its texts): the input's stretches of one file, block by block."""
     file, first, last = None, 0, -1
     for block in blocks(batches, 0):
         texts, files, rows = (c.to_pylist() for c in block.columns)
         own: list = []
         new = False
-        for t, f, r in zip(texts, files, rows, strict=True):
+        for made, f, r in zip(take([t or "" for t in texts]), files, rows, strict=True):
             if f != file or r <= last:
                 if own:
                     yield file, first, new, own
                 file, first, own, new = f, r, [], True
             last = r
-            own.append(take(t or ""))
+            own.append(made)
         yield file, first, new, own
 
 
@@ -120,7 +120,7 @@ def stretches(ordered: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: list = []
-        for file, first, new, counts in _stretches(batches, tokens.bpe(path).count):
+        for file, first, new, counts in _stretches(batches, tokens.bpe(path).count_all):
             if new:
                 now.append([file, first, 0])
             now[-1][2] += sum(counts) + len(counts)
@@ -176,7 +176,7 @@ def pieces(ordered: DataFrame, path: str, names: np.ndarray, begins: np.ndarray,
         known, places = shared.value
         end = np.array([end_id], np.uint32)
         at, rest = 0, np.empty(0, np.uint32)
-        for file, first, new, docs in _stretches(batches, tokens.bpe(path).encode):
+        for file, first, new, docs in _stretches(batches, tokens.bpe(path).encode_all):
             if new:
                 if len(rest):
                     yield from batch(at, rest)

@@ -74,3 +74,18 @@ def test_columns_that_clash_and_empty_tables(spark, tmp_path):
     assert ordering.read_back(ordering.materialise(docs, f"file://{tmp_path}/c", "k")).count() == 1
     assert ordering.read_back(ordering.materialise(docs.where("false"), f"file://{tmp_path}/d", "k")).count() == 0
     assert ordering.read_back(ordering.materialise(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("false"), f"file://{tmp_path}/e", "k")).count() == 0
+
+
+@pytest.mark.parametrize("bits, at_once", [(20, 1 << 17), (6, 200)])
+def test_many_texts_at_once_are_encoded_like_each(monkeypatch, bits, at_once):
+    monkeypatch.setattr(tokens, "SLOT_BITS", bits)
+    monkeypatch.setattr(tokens, "AT_ONCE", at_once)
+    bpe = tokens.Bpe(tokens.default_path())
+    rng = np.random.default_rng(7)
+    parts = ["a", "word", "s", "t", "ll", "ve", "re", "l", "m", "'", "'s", "'ll", " '", " ", " ", "  ", "\n", "\t", "\r", "1", "²", "!", "...", "é", "Ž", "€", "x" * 13, "don't", "we're'd"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(3000)] + TEXTS + ["Ж'", "\0", "word " * 100]
+    for _ in range(2):  # the second time from the table
+        got, counts = bpe.encode_all([t or "" for t in texts]), bpe.count_all([t or "" for t in texts])
+        for text, ids, n in zip(texts, got, counts, strict=True):
+            assert ids.tolist() == bpe.reference(text or "").tolist() and n == len(ids)
+    assert 2 * bpe._table.rows <= 1 << bits
