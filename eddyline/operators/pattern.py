@@ -688,9 +688,9 @@ def plan(df: DataFrame, node: Node, by: Sequence[str]) -> DataFrame | None:
 
 def every_followed_by(df: DataFrame, a: Column, b: Column, by: Sequence[str], columns: Sequence[str], within: int | None = None) -> DataFrame:
     """every A -> B: each A with the first B after it, within d if given. One window over each key, no join."""
-    w = Window.partitionBy(*by).orderBy("_ts", "_seq").rowsBetween(1, Window.unboundedFollowing)
+    w = Window.partitionBy(*by).orderBy(F.desc("_ts"), F.desc("_seq")).rowsBetween(Window.unboundedPreceding, -1)  # latest first: a frame to the end is computed anew for each row
     row = F.struct("_ts", "_seq", *columns)
-    found = df.withColumn("b", F.first(F.when(b, row), ignorenulls=True).over(w)).where(a & F.col("b").isNotNull())
+    found = df.withColumn("b", F.last(F.when(b, row), ignorenulls=True).over(w)).where(a & F.col("b").isNotNull())
     if within is not None:
         found = found.where(F.col("b._ts") < F.col("_ts") + within)
     return found.select(*by, row.alias("a"), "b")
@@ -698,7 +698,7 @@ def every_followed_by(df: DataFrame, a: Column, b: Column, by: Sequence[str], co
 
 def absent_within(df: DataFrame, a: Column, b: Column, by: Sequence[str], columns: Sequence[str], us: int) -> DataFrame:
     """every A -> (timer d and not B): each A after which no B comes for d; fires at A + d."""
-    w = Window.partitionBy(*by).orderBy("_ts", "_seq").rowsBetween(1, Window.unboundedFollowing)
+    w = Window.partitionBy(*by).orderBy(F.desc("_ts"), F.desc("_seq")).rowsBetween(Window.unboundedPreceding, -1)
     nxt = F.min(F.when(b, F.col("_ts"))).over(w)
     quiet = df.withColumn("_b", nxt).where(a & (F.col("_b").isNull() | (F.col("_b") >= F.col("_ts") + us)))
     return quiet.select(*by, F.struct("_ts", "_seq", *columns).alias("a"), (F.col("_ts") + us).alias("_at"))

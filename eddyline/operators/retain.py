@@ -136,8 +136,7 @@ class ExternallyTimed(Policy):
     us: int
 
     def lifetimes(self, df, by=()):
-        w = (Window.partitionBy(*by) if by else Window).orderBy(self.column).rangeBetween(self.us, Window.unboundedFollowing)
-        return df.withColumn("_in", now()).withColumn("_out", F.min("_in").over(w))
+        return _until_reached(df, self.column, F.col(self.column) + self.us, by)
 
     def frame(self, by=()):
         return (Window.partitionBy(*by) if by else Window).orderBy(self.column).rangeBetween(-(self.us - 1), 0)
@@ -195,6 +194,28 @@ def _calendar(ts: Column, months: int, days: int) -> Column:
     return F.unix_micros(F.timestamp_micros(ts) + F.make_interval(months=F.lit(months), days=F.lit(days)))
 
 
+def _until_reached(df: DataFrame, column: str, end: Column, by: Sequence[str], bucket_us: int = 3600 * SECOND) -> DataFrame:
+    """Lifetimes up to the first event of the key whose `column` (microseconds) is at or beyond an event's end.
+
+    Events and ends meet in buckets of time, latest first: Spark computes a frame to the end of a partition anew for
+    each row, one from its start goes on. A bucket begins with the first event of all later ones; only those, a row
+    a bucket and key, are one sequence. An event without end stays; one without place in the order evicts none.
+    """
+    keys = [f"_k{i}" for i in range(len(by))]
+    live = df.withColumn("_in", now())
+    whole = F.struct(*live.columns)
+    mark = lambda t, kind, row, at: F.struct(t.cast("long").alias("_t"), F.lit(kind).alias("_kind"), row.alias("_row"), at.alias("_at"))
+    reached = F.when(F.col(column).isNotNull() & F.col("_seq").isNotNull(), F.col("_in"))
+    both = F.array(mark(end, 0, whole, never()), mark(F.col(column), 1, F.when(F.lit(False), whole), reached))
+    marks = live.select(*(F.col(b).alias(k) for b, k in zip(by, keys, strict=True)), F.inline(both)).withColumn("_bucket", F.floor(F.col("_t") / bucket_us))
+    later = Window.partitionBy(*keys).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = marks.groupBy(*keys, "_bucket").agg(F.min("_at").alias("_at")).withColumn("_at", F.min("_at").over(later))
+    carried = firsts.withColumns({"_t": F.lit((1 << 63) - 1), "_kind": F.lit(1), "_row": F.lit(None).cast(marks.schema["_row"].dataType)})
+    w = Window.partitionBy(*keys, "_bucket").orderBy(F.desc("_t"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
+    out = marks.unionByName(carried).withColumn("_out", F.min("_at").over(w)).where("_kind = 0")
+    return out.select("_row.*", F.when(F.col("_t").isNotNull(), F.col("_out")).alias("_out"))
+
+
 @dataclass(frozen=True)
 class TimeAccumCalendar(Policy):
     """Accumulate until calendar months and days of silence."""
@@ -265,15 +286,10 @@ class ExternallyTimedCalendar(Policy):
     days: int = 0
 
     def lifetimes(self, df, by=()):
-        end = F.unix_micros(F.timestamp_micros(self.column) + F.make_interval(months=F.lit(self.months), days=F.lit(self.days)))
-        ends = df.withColumn("_in", now()).withColumn("_end", end)
-        keys = list(by)
-        # the next event at or after an event's end: one pass over events and ends in order of time
-        marks = ends.select(*keys, F.col("_end").alias("_t"), F.lit(0).alias("_kind"), F.col("_seq").alias("_of"), F.lit(None).cast(INSTANT).alias("_at"))
-        marks = marks.unionByName(ends.select(*keys, F.col(self.column).alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_of"), F.col("_in").alias("_at")))
-        w = (Window.partitionBy(*keys) if keys else Window).orderBy("_t", "_kind", "_at").rowsBetween(0, Window.unboundedFollowing)
-        outs = marks.withColumn("_out", F.first("_at", ignorenulls=True).over(w)).where("_kind = 0").select(*keys, F.col("_of").alias("_seq"), "_out")
-        return ends.drop("_end").join(outs, [*keys, "_seq"], "left")
+        live = _until_reached(df, self.column, _calendar(F.col(self.column), self.months, self.days), by)
+        for b in by:  # without its key an event has no others beside it
+            live = live.withColumn("_out", F.when(F.col(b).isNotNull(), F.col("_out")))
+        return live
 
 
 @dataclass(frozen=True)

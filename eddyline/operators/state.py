@@ -77,8 +77,8 @@ def on_delete(live: DataFrame, triggers: DataFrame, on: Sequence[tuple[str, str]
     rows = live.select("*", *(F.col(b).alias(k) for k, (_, b) in zip(keys, on, strict=True)), F.col("_in").alias("_at"), F.lit(1).alias("_row"))
     cuts = triggers.select(*(F.col(a).alias(k) for k, (a, _) in zip(keys, on, strict=True)), F.struct(F.col("_ts").alias("ts"), F.col("_seq").alias("seq")).alias("_at"), F.lit(0).alias("_row"))
     both = rows.unionByName(cuts, allowMissingColumns=True)
-    later = Window.partitionBy(*keys).orderBy("_at", "_row").rowsBetween(1, Window.unboundedFollowing)
-    del_ = F.first(F.when(F.col("_row") == 0, F.col("_at")), ignorenulls=True).over(later)
+    later = Window.partitionBy(*keys).orderBy(F.desc("_at"), F.desc("_row")).rowsBetween(Window.unboundedPreceding, -1)  # latest first: a frame to the end is computed anew for each row
+    del_ = F.last(F.when(F.col("_row") == 0, F.col("_at")), ignorenulls=True).over(later)
     whole = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
     out = both.withColumn("_del", del_).where("_row = 1")
     return out.withColumn("_out", F.least("_out", F.when(whole, F.col("_del")))).select(live.columns)

@@ -528,7 +528,7 @@ def output_terminated(t: Tables) -> DataFrame:
 )
 def window_ext_timed_calendar(t: Tables) -> DataFrame:
     """Sliding over a calendar month by the event's own time."""
-    live = R.ExternallyTimedCalendar("_ts", months=1).lifetimes(t.log, ["event_type"])
+    live = R.ExternallyTimedCalendar("_ts", months=1).lifetimes(t.log.select("_ts", "_seq", "event_type", "event_id"), ["event_type"])
     return live.select("event_id", F.col("_out.seq").alias("evicted_by"))
 
 

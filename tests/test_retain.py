@@ -90,3 +90,22 @@ def test_calendar_batches(spark):
     got = lives(R.TimeBatchCalendar(1).lifetimes(df))
     assert got[0] == got[1] == ((58 * day * S, -1), (89 * day * S, -1)) and got[2][0] == (89 * day * S, -1)
     assert got[3][0][0] > 400 * day * S
+
+
+def test_ends_of_externally_timed_windows_over_buckets(spark):
+    rnd = random.Random(8)
+    rows = [(i, rnd.randrange(200 * 86400) * S, rnd.choice("abc")) for i in range(300)] + [(300, 5 * S, None), (300, 6 * S, "a")]
+    rows = [(i, t, k) for (i, _, k), t in zip(rows, sorted(t for _, t, _ in rows), strict=True)]
+    df = spark.createDataFrame(rows, "_seq long, _ts long, k string")
+
+    def want(end):
+        return sorted((i, t, min((u, j) for j, u, x in rows if x == k and u >= end(t)) if any(x == k and u >= end(t) for _, u, x in rows) else None) for i, t, k in rows if k)
+
+    def got(policy):
+        live = policy.lifetimes(df, ["k"])
+        assert "unboundedfollowing" not in live._jdf.queryExecution().toString().lower()  # such a frame is quadratic
+        return sorted((r["_seq"], r["_ts"], r["_out"] and tuple(r["_out"])) for r in live.where("k is not null").collect())
+
+    assert got(R.ExternallyTimed("_ts", 3 * 86400 * S)) == want(lambda t: t + 3 * 86400 * S)
+    assert got(R.ExternallyTimedCalendar("_ts", days=3)) == want(lambda t: t + 3 * 86400 * S)
+    assert R.ExternallyTimedCalendar("_ts", days=3).lifetimes(df, ["k"]).count() == len(rows)
