@@ -44,7 +44,8 @@ def join_windowed(t: Tables) -> DataFrame:
 )
 def join_outer_chain(t: Tables) -> DataFrame:
     s, c = t.supplier.where("s_acctbal > 5000"), t.customer.where("c_acctbal > 9000")
-    return J.chain(t.nation, (s, F.col("s_nationkey") == F.col("n_nationkey"), "left"), (c, F.col("c_nationkey") == F.col("n_nationkey"), "full")).select("n_name", "s_name", "c_name")
+    served = J.chain(t.nation, (s, F.col("s_nationkey") == F.col("n_nationkey"), "left"))
+    return J.dealt(served, c, "n_nationkey", "c_nationkey", "full").select("n_name", "s_name", "c_name")
 
 
 @query(
