@@ -10,18 +10,19 @@ them follow the change log (`changes`), the state at any instant (`snapshot`) an
 lifetimes are contiguous also give a window frame, so that running aggregates stay inside Spark's window operator.
 
 Order within a key is inherent to these operators, so the key of `by` is their unit of work; a stream without a
-key is one unit. Policies that need a state machine (sort, rank, expression, time-length) fold per key in pandas.
+key is one unit. Policies that need a state machine (sort, rank, expression, time batches) fold a key's events as a stream.
 """
 
 from __future__ import annotations
 
 import bisect
+from collections import deque
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -393,36 +394,95 @@ class IntersectOf(_Composite):
 # ---- policies that fold ------------------------------------------------------------------------------------
 
 
+Step = Callable[[int, "int | None", "int | None", Any], "list[tuple]"]
+
+
 class Fold(Policy):
-    """A state machine over a key's events in order.
+    """A state machine over a key's events in order, as a stream: a task holds the events whose lifetime is open.
 
-    `lives` gets the events as a frame in order and returns for each (in ts, in seq, out ts, out seq); an in of
-    None never enters, an out of None never leaves.
+    `machine` makes one for a key: a function of an event's number, ts, seq and `needs`, and one without arguments for
+    the end. Both return the lifetimes that have become known: (number, in ts, in seq, out ts, out seq); an in seq of
+    None never enters, an out seq of None never leaves.
     """
 
-    def lives(self, events: pd.DataFrame) -> list[tuple]:
+    def machine(self) -> tuple[Step, Callable[[], list[tuple]]]:
         raise NotImplementedError
 
-    def lifetimes(self, df, by=()):
-        schema = T.StructType([*df.schema.fields, T.StructField("_in", INSTANT), T.StructField("_out", INSTANT)])
-        names = df.columns
-
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["_ts", "_seq"], ignore_index=True)
-            spans = self.lives(pdf)
-            pdf = pdf[names].copy()
-            pdf["_in"] = [{"ts": a, "seq": b} if a is not None else None for a, b, *_ in spans]
-            pdf["_out"] = [{"ts": c, "seq": d} if c is not None else None for *_, c, d in spans]
-            return pdf[[a is not None for a, *_ in spans]]
+    def needs(self) -> Sequence[str] | None:
+        """Columns whose values `machine` gets as a tuple; None: all, as a dict."""
+        return ()
 
-        keys = list(by) or [F.lit("all")]
-        return df.groupBy(*keys).applyInPandas(run, schema)
+    def lifetimes(self, df, by=()):
+        return self._folded(df, by, True)
 
+    def retained(self, df, by=()):
+        return self._folded(df, by, False).drop("_in", "_out")
 
-def _keys(events: pd.DataFrame, keys: Sequence[str]) -> list[tuple]:
-    """Sort keys; a leading minus sorts numbers downwards."""
-    columns = [-events[k[1:]] if k.startswith("-") else events[k] for k in keys]
-    return list(zip(*columns, strict=True))
+    def _folded(self, df: DataFrame, by: Sequence[str], gone: bool) -> DataFrame:
+        schema = T.StructType([*df.schema.fields, T.StructField("_in", INSTANT), T.StructField("_out", INSTANT)])
+        names, keys, needs, machine = df.columns, [f"_k{i}" for i in range(len(by))], self.needs(), self.machine
+        # 0.0 and -0.0 are one key, and so is NaN
+        made = {k: (F.col(b) + F.lit(0.0)).cast("string") if isinstance(df.schema[b].dataType, T.FloatType | T.DoubleType) else F.col(b) for k, b in zip(keys, by, strict=True)}
+
+        def run(batches):
+            current, step, close, number = None, None, None, 0
+            waiting: dict[int, tuple] = {}
+            done: dict[int, tuple] = {}
+
+            def known(lives):
+                for i, *life in lives:
+                    batch, place = waiting.pop(i)
+                    if life[1] is not None and (gone or life[3] is None):
+                        _, places, spans = done.setdefault(id(batch), (batch, [], []))
+                        places.append(place)
+                        spans.append(life)
+
+            def shown():
+                for batch, places, spans in done.values():
+                    taken = batch.take(pa.array(places, pa.int64()))
+                    columns = list(zip(*spans, strict=True))
+                    ends = (_instants(*columns[:2]), _instants(*columns[2:]))
+                    yield pa.RecordBatch.from_arrays([*(taken.column(n) for n in names), *ends], [*names, "_in", "_out"])
+                done.clear()
+
+            for batch in batches:
+                size = batch.num_rows
+                ks = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)) if keys else [()] * size
+                if needs is None:
+                    rows = batch.select(names).to_pylist()
+                else:
+                    rows = list(zip(*(batch.column(n).to_pylist() for n in needs), strict=True)) if needs else [()] * size
+                events = zip(ks, batch.column("_ts").to_pylist(), batch.column("_seq").to_pylist(), rows, strict=True)
+                for place, (k, t, s, row) in enumerate(events):
+                    if step is None or k != current:
+                        if close is not None:
+                            known(close())
+                        current, (step, close) = k, machine()
+                    waiting[number] = batch, place
+                    known(step(number, t, s, row))
+                    number += 1
+                yield from shown()
+                left = [(i, place) for i, (b, place) in waiting.items() if b is batch]
+                if left:
+                    few = batch.take(pa.array([place for _, place in left], pa.int64()))
+                    waiting.update((i, (few, n)) for n, (i, _) in enumerate(left))
+            if close is not None:
+                known(close())
+            yield from shown()
+
+        keyed = df.withColumns(made)
+        dealt = keyed.repartition(*keys) if keys else keyed.repartition(1)
+        return dealt.sortWithinPartitions(*keys, F.asc_nulls_last("_ts"), "_seq").mapInArrow(run, schema)
+
+
+def _instants(ts: Sequence, seq: Sequence) -> pa.Array:
+    ends = [pa.array(ts, pa.int64()), pa.array(seq, pa.int64())]
+    return pa.StructArray.from_arrays(ends, ["ts", "seq"], mask=pa.array([x is None for x in seq]))
+
+
+def _keys(row: tuple, keys: Sequence[str]) -> tuple:
+    """A sort key; a leading minus sorts numbers downwards. NaN and, after it, null come last either way."""
+    return tuple((2, 0) if v is None else (1, 0) if v != v else (0, -v if k.startswith("-") else v) for v, k in zip(row, keys, strict=True))
 
 
 @dataclass(frozen=True)
@@ -438,16 +498,20 @@ class Sort(Fold):
         w = Window.partitionBy(*by).orderBy(*order, F.desc("_ts"), F.desc("_seq"))
         return df.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= self.n).drop("_place")
 
-    def lives(self, events):
-        ts, seq, keys = events["_ts"].tolist(), events["_seq"].tolist(), _keys(events, self.keys)
-        out: list[list] = [[t, s, None, None] for t, s in zip(ts, seq, strict=True)]
+    def needs(self):
+        return [k.removeprefix("-") for k in self.keys]
+
+    def machine(self):
         held: list[tuple] = []
-        for i, k in enumerate(keys):
-            bisect.insort(held, (k, -i))
-            if len(held) > self.n:
-                _, j = held.pop()
-                out[-j][2:] = [ts[i], seq[i]]
-        return [tuple(x) for x in out]
+
+        def step(i, t, s, row):
+            bisect.insort(held, (_keys(row, self.keys), -i, t, s))
+            if len(held) <= self.n:
+                return []
+            _, j, *enter = held.pop()
+            return [(-j, *enter, t, s)]
+
+        return step, lambda: [(-j, *enter, None, None) for _, j, *enter in held]
 
 
 @dataclass(frozen=True)
@@ -458,27 +522,28 @@ class Rank(Fold):
     unique: tuple[str, ...]
     keys: tuple[str, ...]
 
-    def lives(self, events):
-        ts, seq = events["_ts"].tolist(), events["_seq"].tolist()
-        unique, keys = list(zip(*(events[u] for u in self.unique), strict=True)), _keys(events, self.keys)
-        out: list[list] = [[t, s, None, None] for t, s in zip(ts, seq, strict=True)]
+    def needs(self):
+        return [*self.unique, *(k.removeprefix("-") for k in self.keys)]
+
+    def machine(self):
         held: list[tuple] = []
         latest: dict[tuple, tuple] = {}
-        for i, (u, k) in enumerate(zip(unique, keys, strict=True)):
-            gone = []
+        width = len(self.unique)
+
+        def step(i, t, s, row):
+            u, gone = row[:width], []
             if u in latest:
                 gone.append(latest.pop(u))
                 held.remove(gone[0])
-            entry = (k, -i)
-            bisect.insort(held, entry)
+            entry = (_keys(row[width:], self.keys), -i, t, s, u)
+            bisect.insort(held, entry, key=lambda x: x[:2])
             latest[u] = entry
             if len(held) > self.n:
-                worst = held.pop()
-                del latest[unique[-worst[1]]]
-                gone.append(worst)
-            for _, j in gone:
-                out[-j][2:] = [ts[i], seq[i]]
-        return [tuple(x) for x in out]
+                gone.append(held.pop())
+                del latest[gone[-1][4]]
+            return [(-j, a, b, t, s) for _, j, a, b, _ in gone]
+
+        return step, lambda: [(-j, a, b, None, None) for _, j, a, b, _ in held]
 
 
 @dataclass(frozen=True)
@@ -493,21 +558,31 @@ class TimeBatch(Fold):
     reference: int | None = None
     force: bool = False
 
-    def lives(self, events):
-        ts = events["_ts"].to_numpy()
-        out: list[tuple] = []
-        i, n = 0, len(ts)
-        end = None
-        while i < n:
-            if end is None or (ts[i] >= end + self.us and not self.force and self.reference is None):
-                anchor = int(ts[i]) if self.reference is None else self.reference
-                end = anchor + ((int(ts[i]) - anchor) // self.us + 1) * self.us
-            else:
-                end += ((int(ts[i]) - end) // self.us + 1) * self.us if ts[i] >= end else 0
-            j = int(np.searchsorted(ts, end))
-            out += [(end, -1, end + self.us, -1)] * (j - i)
-            i = j
-        return out
+    def lifetimes(self, df, by=()):
+        if self.reference is None and not self.force:
+            return super().lifetimes(df, by)
+        start = F.lit(self.reference) if self.reference is not None else F.min("_ts").over(Window.partitionBy(*by))
+        flush = F.col("_ts") - F.pmod(F.col("_ts") - start, F.lit(self.us)) + self.us
+        timed = df.withColumn("_flush", flush)
+        return timed.withColumn("_in", instant(F.col("_flush"), F.lit(-1))).withColumn("_out", instant(F.col("_flush") + self.us, F.lit(-1))).drop("_flush")
+
+    def retained(self, df, by=()):
+        return Policy.retained(self, df, by)
+
+    def machine(self):
+        us, end = self.us, None
+
+        def step(i, t, s, row):
+            nonlocal end
+            if t is None:  # such events come last: they are of the last batch
+                return [(i, end, -1, None if end is None else end + us, -1)]
+            if end is None or t >= end + us:
+                end = t + us
+            elif t >= end:
+                end += us
+            return [(i, end, -1, end + us, -1)]
+
+        return step, list
 
 
 @dataclass(frozen=True)
@@ -519,18 +594,19 @@ class TimeBatchCalendar(Fold):
     def _end(self, anchor: pd.Timestamp, k: int) -> int:
         return (anchor + pd.DateOffset(months=self.months * k)).value // 1000
 
-    def lives(self, events):
-        ts = events["_ts"].to_numpy()
-        out: list[tuple] = []
-        i, k, anchor = 0, 0, None
-        while i < len(ts):
-            if anchor is None or ts[i] >= self._end(anchor, k + 1):
-                anchor, k = pd.Timestamp(int(ts[i]), unit="us"), 0
-            k += 1
-            j = int(np.searchsorted(ts, self._end(anchor, k)))
-            out += [(self._end(anchor, k), -1, self._end(anchor, k + 1), -1)] * (j - i)
-            i = j
-        return out
+    def machine(self):
+        k, anchor, end, after = 0, None, None, None
+
+        def step(i, t, s, row):
+            nonlocal k, anchor, end, after
+            if t is not None and (end is None or t >= end):
+                if end is None or t >= after:
+                    anchor, k = pd.Timestamp(t, unit="us"), 0
+                k += 1
+                end, after = self._end(anchor, k), self._end(anchor, k + 1)
+            return [(i, end, -1, after, -1)]
+
+        return step, list
 
 
 @dataclass(frozen=True)
@@ -544,34 +620,42 @@ class TimeLengthBatch(Fold):
     n: int
     start: int | None = None
 
-    def lives(self, events):
-        ts, seq = events["_ts"].tolist(), events["_seq"].tolist()
-        flushes: list[tuple[list[int], tuple]] = []
+    def machine(self):
+        us = self.us
+        due = None if self.start is None else self.start + us
         held: list[int] = []
-        due = None if self.start is None else self.start + self.us
-        for i, t in enumerate(ts):
-            while due is not None and t >= due:
-                flushes.append((held, (due, -1)))
-                if held:
-                    due = due + self.us
+        before: list[int] = []
+        entered: tuple = ()
+
+        def flush(at: tuple) -> list[tuple]:
+            nonlocal held, before, entered
+            left = [(i, *entered, *at) for i in before]
+            held, before, entered = [], held, at
+            return left
+
+        def step(i, t, s, row):
+            nonlocal due
+            out = []
+            while due is not None and t is not None and t >= due:
+                full = bool(held)
+                out += flush((due, -1))
+                if full:
+                    due += us
                 else:  # the flushes of further empty intervals change nothing
-                    due = None if self.start is None else due + ((t - due) // self.us + 1) * self.us
-                held = []
-            if due is None:
-                due = t + self.us
+                    due = None if self.start is None else due + ((t - due) // us + 1) * us
+            if due is None and t is not None:
+                due = t + us
             held.append(i)
             if len(held) == self.n:
-                flushes.append((held, (t, seq[i])))
-                held, due = [], t + self.us
-        if held:
-            flushes.append((held, (due, -1)))
-            held, due = [], due + self.us
-        out: list[tuple] = [(None, None, None, None)] * len(ts)
-        for k, (rows, at) in enumerate(flushes):
-            leave = flushes[k + 1][1] if k + 1 < len(flushes) else (at[0] + self.us, -1) if at[1] < 0 or due else (None, None)
-            for i in rows:
-                out[i] = (*at, *leave)
-        return out
+                out += flush((t, s))
+                due = None if t is None else t + us
+            return out
+
+        def close():
+            out = flush((due, -1)) if held else []
+            return out + flush((None if entered[0] is None else entered[0] + us, -1)) if before else out
+
+        return step, close
 
 
 @dataclass(frozen=True)
@@ -629,16 +713,21 @@ class Expression(Fold):
             return ExternallyTimed("_ts", self.keep.us).lifetimes(df, by)
         return super().lifetimes(df, by)
 
-    def lives(self, events):
-        rows = events.to_dict("records")
-        out: list[list] = [[r["_ts"], r["_seq"], None, None] for r in rows]
-        first = 0
-        for i, r in enumerate(rows):
-            expired = 0
-            while first <= i and not self.keep(WindowState(i - first + 1, expired, rows[first]["_ts"], r["_ts"], rows[first], r)):
-                out[first][2:] = [r["_ts"], r["_seq"]]
-                first, expired = first + 1, expired + 1
-        return [tuple(x) for x in out]
+    def needs(self):
+        return None
+
+    def machine(self):
+        held: deque[tuple] = deque()
+
+        def step(i, t, s, row):
+            held.append((i, t, s, row))
+            out: list[tuple] = []
+            while held and not self.keep(WindowState(len(held), len(out), held[0][1], t, held[0][3], row)):
+                j, *enter, _ = held.popleft()
+                out.append((j, *enter, t, s))
+            return out
+
+        return step, lambda: [(j, *enter, None, None) for j, *enter, _ in held]
 
 
 @dataclass(frozen=True)
@@ -653,22 +742,25 @@ class ExpressionBatch(Fold):
             return LengthBatch(self.flush.n).lifetimes(df, by).drop("_batch")
         return super().lifetimes(df, by)
 
-    def lives(self, events):
-        rows = events.to_dict("records")
-        out: list[list] = [[None, None, None, None] for _ in rows]
-        held: list[int] = []
+    def needs(self):
+        return None
+
+    def machine(self):
+        held: list[tuple] = []
         before: list[int] = []
-        for i, r in enumerate(rows):
-            held.append(i)
-            if self.flush(WindowState(len(held), 0, rows[held[0]]["_ts"], r["_ts"], rows[held[0]], r)):
-                batch, rest = (held, []) if self.include_trigger else (held[:-1], held[-1:])
-                at = [r["_ts"], r["_seq"]]
-                for j in before:
-                    out[j][2:] = at
-                for j in batch:
-                    out[j][:2] = at
-                before, held = batch, rest
-        return [tuple(x) for x in out]
+        entered: tuple = ()
+
+        def step(i, t, s, row):
+            nonlocal held, before, entered
+            held.append((i, t, row))
+            if not self.flush(WindowState(len(held), 0, held[0][1], t, held[0][2], row)):
+                return []
+            batch, rest = (held, []) if self.include_trigger else (held[:-1], held[-1:])
+            out = [(j, *entered, t, s) for j in before]
+            before, held, entered = [j for j, *_ in batch], rest, (t, s)
+            return out
+
+        return step, lambda: [(j, *entered, None, None) for j in before] + [(j, None, None, None, None) for j, *_ in held]
 
 
 # ---- what follows from lifetimes ---------------------------------------------------------------------------

@@ -153,7 +153,8 @@ def window_sort(t: Tables) -> DataFrame:
 )
 def window_rank(t: Tables) -> DataFrame:
     """Top 3 by value of the latest events by user; what is evicted does not come back."""
-    return R.snapshot(R.Rank(3, ("user_id",), ("-value",)).lifetimes(t.log, ["event_type"])).select("event_type", "user_id", "event_id", "value")
+    log = t.log.select("_ts", "_seq", "event_type", "user_id", "event_id", "value")
+    return R.Rank(3, ("user_id",), ("-value",)).retained(log, ["event_type"]).select("event_type", "user_id", "event_id", "value")
 
 
 @query(

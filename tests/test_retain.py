@@ -109,3 +109,31 @@ def test_ends_of_externally_timed_windows_over_buckets(spark):
     assert got(R.ExternallyTimed("_ts", 3 * 86400 * S)) == want(lambda t: t + 3 * 86400 * S)
     assert got(R.ExternallyTimedCalendar("_ts", days=3)) == want(lambda t: t + 3 * 86400 * S)
     assert R.ExternallyTimedCalendar("_ts", days=3).lifetimes(df, ["k"]).count() == len(rows)
+
+
+def small_batches(spark, df, policy, by):
+    """Lifetimes with a key's events over many batches, from a fold that never holds a whole key."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        live = policy.lifetimes(df, by)
+        assert "FlatMapGroups" not in live._jdf.queryExecution().toString()
+        return lives(live)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_rank_streams_over_batches_with_nulls_as_the_worst(spark):
+    rnd = random.Random(3)
+    rows = [(i, i * S, rnd.choice([0.0, -0.0, float("nan")]), i * 7 % 11, None if i % 9 == 4 else float(rnd.randrange(20))) for i in range(200)]
+    df = spark.createDataFrame(rows, "_seq long, _ts long, k double, u long, v double")
+    want, held = {}, {}
+    for i, t, k, u, v in rows:
+        mine = held.setdefault("nan" if k != k else 0.0, [])
+        new = sorted([*(h for h in mine if h[2] != u), (0 if v is None else -v, -i, u)], key=lambda h: (h[0] == 0 and rows[-h[1]][4] is None, *h))[:3]
+        for _, j, _ in mine:
+            if -j not in {-h[1] for h in new}:
+                want[-j] = ((rows[-j][1], -j), (t, i))
+        want[i] = ((t, i), None if -i in {h[1] for h in new} else (t, i))
+        held["nan" if k != k else 0.0] = new
+    assert small_batches(spark, df, R.Rank(3, ("u",), ("-v",)), ["k"]) == want
+    assert {r["_seq"] for r in R.Rank(3, ("u",), ("-v",)).retained(df, ["k"]).collect()} == {i for i, (_, out) in want.items() if out is None}
