@@ -89,7 +89,7 @@ def window_time_batch_reference(t: Tables) -> DataFrame:
 )
 def window_time_batch(t: Tables) -> DataFrame:
     """Anchored at the first arrival, anew after a silent flush."""
-    live = R.TimeBatch(HOUR).lifetimes(t.log, USER)
+    live = R.TimeBatch(HOUR).lifetimes(t.log.select("_ts", "_seq", "user_id", "value"), USER)
     return live.groupBy("user_id", F.col("_in.ts").alias("flush_us")).agg(F.count("*").alias("n"), r(F.sum("value")).alias("total"))
 
 
@@ -188,7 +188,7 @@ def window_expression_batch(t: Tables) -> DataFrame:
 )
 def window_time_length_batch(t: Tables) -> DataFrame:
     """Flush after 4 events or an hour."""
-    live = R.TimeLengthBatch(HOUR, 4).lifetimes(t.log, USER)
+    live = R.TimeLengthBatch(HOUR, 4).lifetimes(t.log.select("_ts", "_seq", "user_id", "value"), USER)
     return live.groupBy("user_id", "_in").agg(F.count("*").alias("n"), r(F.sum("value")).alias("total")).select("user_id", F.col("_in.ts").alias("flush_us"), "n", "total")
 
 
@@ -566,7 +566,7 @@ def window_time_order_calendar(t: Tables) -> DataFrame:
 )
 def window_time_batch_calendar(t: Tables) -> DataFrame:
     """Batches of a month from a user's first event."""
-    live = R.TimeBatchCalendar(1).lifetimes(t.log, USER)
+    live = R.TimeBatchCalendar(1).lifetimes(t.log.select("_ts", "_seq", "user_id", "value"), USER)
     return live.groupBy("user_id", F.col("_in.ts").alias("flush_us")).agg(F.count("*").alias("n"), r(F.sum("value")).alias("total"))
 
 

@@ -137,3 +137,19 @@ def test_rank_streams_over_batches_with_nulls_as_the_worst(spark):
         held["nan" if k != k else 0.0] = new
     assert small_batches(spark, df, R.Rank(3, ("u",), ("-v",)), ["k"]) == want
     assert {r["_seq"] for r in R.Rank(3, ("u",), ("-v",)).retained(df, ["k"]).collect()} == {i for i, (_, out) in want.items() if out is None}
+
+
+def test_time_batches_of_many_keys_stream_over_batches(spark):
+    rnd = random.Random(4)
+    rows = [(i, t, f"u{rnd.randrange(6)}") for i, t in enumerate(sorted(rnd.randrange(900) for _ in range(200)))]
+    df = spark.createDataFrame(rows, "_seq long, _ts long, k string")
+    want, due = {}, {}
+    for i, t, k in rows:
+        if k not in due or t >= due[k] + 20:
+            due[k] = t + 20
+        elif t >= due[k]:
+            due[k] += 20
+        want[i] = ((due[k], -1), (due[k] + 20, -1))
+    assert small_batches(spark, df, R.TimeBatch(20), ["k"]) == want
+    fixed = {i: ((t // 20 * 20 + 20, -1), (t // 20 * 20 + 40, -1)) for i, t, _ in rows}
+    assert small_batches(spark, df, R.TimeBatch(20, reference=40), ["k"]) == fixed
